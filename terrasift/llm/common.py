@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -28,15 +29,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, rows_at_once: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: it is computed once, its
-    lineage ends there, and the rows outlive any executor."""
+    lineage ends there, and the rows outlive any executor. rows_at_once: rows in
+    an Arrow batch meanwhile, for rows with several texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terrasift/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        if rows_at_once:
+            spark.conf.set(batch, str(rows_at_once))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The most ids (of 8 bytes) that are broadcast; more take a shuffled join.
+MOST_IDS = 2_000_000
+
+
+def only_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows of df whose id is one of ids (distinct): a filter without a shuffle
+    of df while the ids are few, a shuffled semi-join beyond MOST_IDS."""
+    ids = keep(ids)
+    return df.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, on, "left_semi")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each Spark application."""
     sc = spark.sparkContext

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, sharding
+from . import bpe, chat, neardup, sharding
 from .common import table
 
 
@@ -62,9 +62,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_bpe": op5_bpe,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
 }
 ORACLES = {"op2_sharding": OP2_SQL, "op4_chat_formatting": OP4_SQL}
