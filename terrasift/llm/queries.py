@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, neardup, sharding
+from . import bpe, chat, neardup, sharding, substrings
 from .common import table
 
 
@@ -66,10 +66,21 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.Repeats(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    texts = found.kept_texts().select("id", "n_removed", sha(F.col("kept")).alias("sha")).distinct()
+    touched = texts.union(found.copies.select("id", F.lit(None).cast("long").alias("n_removed"), sha(F.lit("")).alias("sha")))
+    rows = found.whole.join(touched, "id", "left")
+    removed = F.when(F.col("sha").isNull(), 0).otherwise(F.coalesce("n_removed", "n_words"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_bpe": op5_bpe,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 ORACLES = {"op2_sharding": OP2_SQL, "op4_chat_formatting": OP4_SQL}
