@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, neardup, sharding, substrings
+from . import bpe, chat, decontam, neardup, sharding, substrings
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "n_covered", F.col("n_words").alias("n_item_words"), F.round("coverage", 6).alias("coverage"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_bpe": op5_bpe,
+    "op6_decontamination": op6_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
 }
