@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, neardup, sharding, substrings
+from . import bpe, chat, decontam, neardup, sharding, substrings, toxicity
 from .common import table
 
 
@@ -81,6 +81,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_chat_formatting": op4_chat_formatting,
@@ -88,5 +94,6 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES = {"op2_sharding": OP2_SQL, "op4_chat_formatting": OP4_SQL}

@@ -51,12 +51,13 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(33))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): byte ranges of all words; document i has the words first[i]:first[i + 1]."""
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): byte ranges of all words; document i has the words first[i]:first[i + 1].
+    breaks: for each byte value, whether it parts words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -78,6 +79,24 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool
         return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def prefix_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: tuple[int, ...], fold: bool = False) -> np.ndarray:
+    """A row of hashes per word: of the whole word, then of its first bytes by each size
+    (0 where it is no longer than that)."""
+    if not len(start):
+        return np.zeros((0, len(sizes) + 1), np.uint64)
+    up, down = _powers(_BYTE_BASE, len(data))
+    out = np.zeros((len(start), len(sizes) + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_values(fold)[data] * up[: len(data)], out=total[1:])
+        out[:, 0] = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        for i, n in enumerate(sizes, 1):
+            long = np.flatnonzero(end - start > n)
+            at = start[long]
+            out[long, i] = mix((total[at + n] - total[at]) * down[at] + U(n + 1000003))
+    return out
+
+
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive word hashes; the caller drops runs that cross documents."""
     n = len(hashes) - k + 1
