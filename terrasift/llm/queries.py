@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, neardup, sharding, substrings, toxicity
+from . import bpe, chat, decontam, neardup, secrets, sharding, substrings, toxicity
 from .common import table
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = lambda: F.filter("spans", lambda s: s["rank"] < len(secrets.PATTERNS))
+    count = lambda i: F.size(F.filter("spans", lambda s: s["rank"] == i)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(i).alias(f"n_{p[0]}") for i, p in enumerate(secrets.PATTERNS)),
+        F.sha2(secrets.listed(base()).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
 
@@ -88,6 +100,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_bpe": op5_bpe,
