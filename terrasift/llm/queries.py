@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, neardup, secrets, sharding, substrings, toxicity
+from . import bpe, chat, decontam, neardup, secrets, sharding, substrings, toxicity, vectors
 from .common import table
 
 
@@ -99,6 +99,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
@@ -108,5 +112,6 @@ QUERIES = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 ORACLES = {"op2_sharding": OP2_SQL, "op4_chat_formatting": OP4_SQL}
