@@ -1,10 +1,71 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline over documents: five stages, each written as Parquet and read
+again as the next one's input.
+
+Every stage but the last returns the columns of documents, in their order. Rows
+without doc_id have no identity: the stages that compare documents keep them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrasift.llm import bpe, decontam, neardup, secrets, toxicity
+from terrasift.llm.common import keep, only_ids, table, without_ids
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, predicted="_toxic").where("_toxic = 0").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that shares 0.8 of its five-word shingles, pair by pair, the
+    document with the smallest id stays; of rows with equal ids one."""
+    found = neardup.near_duplicates(docs, k=5, percent=80)
+    rest = without_ids(docs, found.where("not kept").select("doc_id").distinct(), "doc_id")
+    again = keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.isEmpty():
+        rest = without_ids(rest, again, "doc_id").union(only_ids(rest, again, "doc_id").select(docs.columns).orderBy("text").dropDuplicates(["doc_id"]))
+    return rest.select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose tiles cover half of a benchmark item or more go."""
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return without_ids(docs, found.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret found is replaced by a mark; n_chars follows where a text changes."""
+    found = secrets.scan(docs)
+    changed = F.size("spans") > 0
+    found = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
+    return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document left."""
+    found = bpe.encode_decode(docs)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scans", redact_secrets),
+    ("bpe", encode),
+]
+#: SQL expresses neither the classifier nor the encoder; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table documents."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        docs = keep(docs) if i < len(STAGES) else docs
+    return docs

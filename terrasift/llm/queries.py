@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, neardup, secrets, sharding, substrings, toxicity, vectors
+from . import bpe, chat, decontam, licenses, neardup, secrets, sharding, substrings, toxicity, vectors
 from .common import table
 
 
@@ -46,6 +46,35 @@ JOIN placed USING (slot) JOIN shards USING (s)
 """
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _op3_sql() -> str:
+    rows = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    sizes = ", ".join(f"({a + 1}, {m}, {licenses.window_size(m)}, {licenses.stride(m)})" for a, m in zip((0, *licenses.LENGTHS), licenses.LENGTHS, strict=False))
+    words = "list_filter(string_split(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    five = "list_transform(range(1, greatest(1, len(words) - 3)), lambda i: struct_pack(pos := i - 1, s := array_to_string(words[i:i + 4], ' ')))"
+    return f"""
+WITH templates(template, license, text) AS (VALUES {rows}),
+sizes(least, most, size, stride) AS (VALUES {sizes}),
+split AS (SELECT template, license, {words} AS words FROM templates),
+wanted AS (SELECT DISTINCT template, license, most, size, stride, unnest({five}).s AS s FROM split JOIN sizes ON len(words) BETWEEN least AND most),
+totals AS (SELECT template, count(*) AS n FROM wanted GROUP BY template),
+docs AS (SELECT doc_id, {words} AS words FROM documents WHERE doc_id IS NOT NULL),
+held AS (SELECT doc_id, f.pos AS pos, f.s AS s FROM (SELECT doc_id, unnest({five}) AS f FROM docs)),
+hits AS (SELECT h.doc_id, h.pos, w.* FROM held h JOIN wanted w USING (s)),
+placed AS (SELECT *, unnest(range(greatest(0, (pos + {licenses.SHINGLE} - size + stride - 1) // stride), pos // stride + 1)) AS k FROM hits),
+counted AS (SELECT doc_id, license, template, k, count(DISTINCT s) AS n FROM placed GROUP BY ALL),
+matched AS (SELECT c.*, t.n AS total FROM counted c JOIN totals t USING (template) WHERE c.n >= {licenses.CONTAINMENT} * t.n)
+SELECT doc_id, license, n AS n_matched, total AS n_shingles FROM matched
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY n / total DESC, template, n DESC) = 1
+"""
+
+
+OP3_SQL = _op3_sql()
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -106,6 +135,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
+    "op3_license_scans": op3_license_scans,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_bpe": op5_bpe,
     "op6_decontamination": op6_decontamination,
@@ -114,4 +144,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-ORACLES = {"op2_sharding": OP2_SQL, "op4_chat_formatting": OP4_SQL}
+ORACLES = {"op3_license_scans": OP3_SQL, "op2_sharding": OP2_SQL, "op4_chat_formatting": OP4_SQL}
