@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rest = without_ids(docs, found.where("not kept").select("doc_id").distinct(), "doc_id")
     again = keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not again.isEmpty():
-        rest = without_ids(rest, again, "doc_id").union(only_ids(rest, again, "doc_id").select(docs.columns).orderBy("text").dropDuplicates(["doc_id"]))
+        rest = without_ids(rest, again, "doc_id").union(only_ids(rest, again, "doc_id").select(docs.columns).dropDuplicates(["doc_id"]))
     return rest.select(docs.columns)
 
 

@@ -14,6 +14,7 @@ pattern splits off, in code points.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -130,7 +131,7 @@ def hot_range(string: Column, c: CharClass) -> Column:
 
 
 def _entropy(text: Column, base: Column, rank: int, c: CharClass, allow: tuple[str, ...]) -> Column:
-    wanted = lambda m: math_all([m["hit"].rlike(p) for p in c.needs] + [~m["hit"].rlike(p) for p in allow])
+    wanted = lambda m: _all([m["hit"].rlike(p) for p in c.needs] + [~m["hit"].rlike(p) for p in allow])
     free = lambda m: ~F.exists(base, lambda b: (b["start"] < m["start"] + m["size"]) & (b["end"] > m["start"]))
     candidates = F.filter(_hits(text, c.pattern, 0), lambda m: wanted(m) & free(m))
     ranges = F.transform(candidates, lambda m: F.struct(m["start"].alias("start"), hot_range(m["hit"], c).alias("hot")))
@@ -139,7 +140,7 @@ def _entropy(text: Column, base: Column, rank: int, c: CharClass, allow: tuple[s
     return F.when(text.rlike(c.pattern), spans).otherwise(_none())
 
 
-def math_all(conditions: list[Column]) -> Column:
+def _all(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for x in conditions:
         out = out & x
@@ -156,9 +157,10 @@ def scan(df: DataFrame, text_col: str = "text", classes: tuple[CharClass, ...] =
     entropy classes, each reports its own span."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(*(_base(text, i) for i in range(len(PATTERNS))))
-    df = df.withColumn("_base", base)
-    added = [_entropy(text, F.col("_base"), len(PATTERNS) + i, c, allow) for i, c in enumerate(classes)]
-    return df.withColumn("spans", F.array_sort(F.concat("_base", *added))).drop("_base")
+    held = f"base_{uuid.uuid4().hex}"  # no other column has this name
+    df = df.withColumn(held, base)
+    added = [_entropy(text, F.col(held), len(PATTERNS) + i, c, allow) for i, c in enumerate(classes)]
+    return df.withColumn("spans", F.array_sort(F.concat(held, *added))).drop(held)
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

@@ -1,0 +1,232 @@
+"""Secrets, sharding, licenses, chats, toxicity and vectors."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from terrasift.llm import chat, licenses, secrets, sharding, toxicity, vectors
+
+from .fixtures import documents, prose, sample, texts
+
+KEY = "Zk3Qp9Xw7Lm2Tr8Vb4Nc6Hd1Jf5Gs0Ya"
+
+
+def brute_spans(text):
+    text, out = text or "", []
+    patterns = [re.compile(p.replace("(?i:password", "(?ai:password")) for _, p, _, _ in secrets.PATTERNS]
+    for rank, ((kind, _, group, least), p) in enumerate(zip(secrets.PATTERNS, patterns, strict=True)):
+        out += [(m.start(), rank, kind, m.end()) for m in p.finditer(text) if len(m.group(group)) >= least]
+    base = list(out)
+    for i, c in enumerate(secrets.CLASSES):
+        for m in re.finditer(c.pattern, text):
+            h, w = m.group(), c.window
+            if not all(re.search(x, h) for x in c.needs) or any(re.search(x, h) for x in secrets.ALLOW) or any(b[0] < m.end() and b[3] > m.start() for b in base):
+                continue
+            entropy = [-sum(v / w * math.log2(v / w) for v in Counter(h[j : j + w]).values()) for j in range(len(h) - w + 1)]
+            hot = [j for j, e in enumerate(entropy) if e >= c.bits - 1e-10]
+            if hot:
+                out.append((m.start() + hot[0], len(secrets.PATTERNS) + i, c.kind, m.start() + hot[-1] + w))
+    return sorted(out)
+
+
+SECRETS = [
+    "secret=token: abcdefghij", "😀é token = \"0641917ea4e9feb9cda83477\" x", "toKen=password=abcdefgh12", "AKIAAKIA1234567890", "f" * 40, "a" * 31,
+    f"key {KEY} end", f"AKIA{KEY}", "0f3a" * 8, "8f14e45f-ceea-467f-a8d2-1b2c3d4e5f60", f"EXAMPLE{KEY}", "abcdefghijklmnopqrstuvwxyzABC1", f"é{KEY * 300}", "API_KEY:'abc-def_g'", "passwd=short1",
+]
+
+
+def test_secrets_match_brute_force(spark):
+    rows = texts() + [(100 + i, t) for i, t in enumerate(SECRETS)] + [(1000 + i, t) for i, t in sample(300)]
+    found = secrets.scan(documents(spark, rows)).collect()
+    assert len(found) == len(rows) + 2 and found[0].lang == "en"
+    by_id = dict(rows)
+    for r in found:
+        assert [(s.start, s.rank, s.kind, s.end) for s in r.spans] == brute_spans(by_id[r.doc_id])
+    assert any(s.kind == "entropy_base64" for r in found for s in r.spans)
+
+
+def test_redaction_leaves_no_span(spark):
+    df = secrets.scan(documents(spark, [(100 + i, t) for i, t in enumerate(SECRETS)]))
+    for r in df.select("text", "spans", secrets.redact(F.col("text"), F.col("spans")).alias("out")).collect():
+        out, at = "", 0
+        for s in r.spans:
+            if s.start >= at:
+                out += r.text[at : s.start] + "[SECRET]"
+            at = max(at, s.end)
+        assert r.out == out + r.text[at:]
+
+
+def test_secrets_of_an_empty_table(spark):
+    assert secrets.scan(documents(spark, [])).collect() == []
+
+
+def test_table_is_filled_in_turns():
+    for names, size in ((sharding.SHARDS, sharding.TABLE_SIZE), (("a", "b", "c"), 101)):
+        table = sharding.fill(names, size)
+        count = Counter(table)
+        assert len(table) == size and max(count.values()) - min(count.values()) <= 1
+    before, after = sharding.fill(tuple("abcdefgh"), 1009), sharding.fill(tuple("abcdefg"), 1009)
+    assert sum(a != b for a, b in zip(before, after, strict=True) if a != 7) < 0.25 * 1009  # few others move
+    with pytest.raises(ValueError, match="prime"):
+        sharding.fill(("a",), 100)
+
+
+def test_placement(spark):
+    rows = spark.createDataFrame([(i % 500, "x", "old") for i in range(1000)] + [(None, "y", "old")], "doc_id long, text string, shard string")
+    found = sharding.place(rows, "doc_id").collect()
+    table = sharding.fill()
+    assert len(found) == 1001
+    for r in found:
+        slot = sharding._number("" if r.doc_id is None else str(r.doc_id)) % sharding.TABLE_SIZE
+        assert (r.slot, r.shard) == (slot, sharding.SHARDS[table[slot]])
+    assert sharding.place(rows.limit(0), "doc_id").collect() == []
+
+
+def test_chats(spark):
+    def conv(i, *turns):
+        return [(i, n, "user" if n % 2 == 0 else "assistant", t, "extra") for n, t in enumerate(turns)]
+
+    rows = conv(1, "a", "b") + conv(2, "a") + conv(3, "a", "b") + conv(4, "a", "c") + conv(5, "a", "b", "d") + conv(6, None) + conv(6, None) + conv(7, "x" * 50000)
+    rows += [(8, None, "user", "first", ""), (8, 0, None, "second", ""), (None, 0, "user", "a", ""), (9, 1, "user", "b", ""), (9, 1, "user", "a", "")]
+    found = {r.conv_id: (r.n_turns, r.rendered) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, hash string")).collect()}
+    assert set(found) == {4, 5, 6, 7, 8, 9}
+    assert found[5] == (3, "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\nd<|im_end|>\n")
+    assert found[6] == (1, "<|im_start|>user\n<|im_end|>\n")
+    assert found[8][1].startswith("<|im_start|>user\nfirst") and found[9][1].index("\na<") < found[9][1].index("\nb<")
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_licenses(spark):
+    gpl = licenses.TEMPLATES[6][1]
+    words = gpl.split()
+    rows = [(100, prose(1, 300) + "\nReleased under the MIT License.\n" + prose(2, 300)), (101, "x " + " ".join(["Licensed under  CC BY-NC 4.0."] * 2)), (102, gpl.upper()), (103, " ".join([*words[:20], "odd", *words[20:]])), (104, " ".join(words[: len(words) // 2])), (105, "a license to kill under the sun"), (106, prose(3, 40) + " " + " ".join(t for _, t in licenses.TEMPLATES))]
+    found = licenses.scan(documents(spark, texts() + rows)).collect()
+    fives = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    want = {}
+    for d, text in texts() + rows:
+        own = licenses.tokens_of(text or "")
+        for name, template in licenses.TEMPLATES:
+            t = licenses.tokens_of(template)
+            m = next(n for n in licenses.LENGTHS if len(t) <= n)
+            for start in range(0, len(own), licenses.stride(m)):
+                n, of = len(fives(own[start : start + licenses.window_size(m)]) & fives(t)), len(fives(t))
+                if n >= licenses.CONTAINMENT * of and n / of > want.get((d, name), (0, 0))[0]:
+                    want[d, name] = (n / of, n, of)
+    assert {(r.doc_id, r.license): (r.n_matched, r.n_shingles) for r in found} == {k: v[1:] for k, v in want.items()}
+    assert {(100, "MIT"), (101, "CC-BY-NC-4.0"), (102, "GPL-3.0"), (103, "GPL-3.0")} <= set(want) and not {104, 105} & {d for d, _ in want}
+    assert licenses.scan(documents(spark, [])).collect() == []
+
+
+def test_license_anchors_lose_nothing():
+    names = set(licenses.anchors(licenses.TEMPLATES))
+    for _, text in licenses.TEMPLATES:
+        t = licenses.tokens_of(text)
+        all_ = {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+        assert sum(not names & set(s) for s in all_) < licenses.CONTAINMENT * len(all_)
+
+
+def labelled(spark, n=600):
+    """Texts with one of two bad words are toxic; most of the toxic ones also name a group."""
+    docs, labels = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        words = prose(i, 30).split()
+        if bad:
+            words[i % 30] = ("vile", "rotten!")[i % 8 == 0]
+        if bad and i % 5 or not bad and i % 17 == 0:
+            words[(i + 7) % 30] = "women"
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), docs, labels
+
+
+def test_toxicity_learns_and_group_terms_do_not_count(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 5.0)
+    docs, labels, rows, known = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    test = [(i, y) for i, _, y in known if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(found[i].predicted == y for i, y in test) >= 0.97 * len(test)
+    neutral = spark.createDataFrame([(i, prose(5000 + i, 30) + " women") for i in range(50)] + [(100 + i, prose(5000 + i, 30)) for i in range(50)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score(neutral, model).collect()}
+    monkeypatch.setattr(toxicity, "SWAP", 0.0)
+    examples = toxicity.examples(docs.join(labels, "doc_id").where(~toxicity.held_out(F.col("doc_id"))).withColumnRenamed("doc_id", "id")).toArrow().combine_chunks()
+    lists = [[x.values.to_numpy() for x in examples.column(c)] for c in ("features", "swapped")]
+    plain = toxicity.train(examples.column("toxic").to_numpy().astype(float), *lists, swap=0.0)
+    free = {r.doc_id: r.score for r in toxicity.score(neutral, plain).collect()}
+    shift = lambda s: np.mean([s[i] - s[100 + i] for i in range(50)])
+    assert shift(scores) < 0.5 * shift(free)
+    assert sum(s >= 0.5 for i, s in scores.items()) <= sum(s >= 0.5 for i, s in free.items())
+
+
+def test_toxicity_never_sees_held_out_rows(spark):
+    docs, labels, _, _ = labelled(spark, 200)
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = toxicity.fit(docs, labels), toxicity.fit(docs, turned)
+    assert np.array_equal(one.keys, two.keys) and np.array_equal(one.weights, two.weights)
+
+
+def test_toxicity_cases(spark):
+    docs, labels, _, _ = labelled(spark, 200)
+    none = labels.limit(0)
+    out = toxicity.score(documents(spark), toxicity.fit(docs, none)).collect()
+    assert len(out) == len(texts()) + 2 and all(0 <= r.score <= 1 for r in out)
+    same = labels.withColumn("toxic", F.lit(0))
+    assert all(r.predicted == 0 for r in toxicity.score(documents(spark), toxicity.fit(docs, same)).collect())
+    odd = labels.union(spark.createDataFrame([(None, 1, 1), (1, 1, None), (10**9, 0, 1)], labels.schema))
+    model = toxicity.fit(docs, odd)
+    scores = {r.doc_id: r.score for r in toxicity.score(documents(spark), model).collect()}
+    assert scores[1] == scores[2] == scores[3]
+    assert toxicity.score(documents(spark, []), model).collect() == []
+
+
+def brute_vectors(rows, cosine=0.95, dim=8):
+    good = {i: np.array(v, float) for i, v in rows if v is not None and len(v) == dim and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    links, parent = {i: 0 for i, _ in rows}, {i: i for i, _ in rows}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(good)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= cosine:
+                links[a] += 1
+                links[b] += 1
+                x, y = top(a), top(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (links[i], top(i)) for i in links}
+
+
+@pytest.mark.parametrize("part", [1024, 16])
+def test_vectors_match_all_pairs(spark, monkeypatch, part):
+    monkeypatch.setattr(vectors, "PART", part)
+    monkeypatch.setattr(vectors, "LIST_SIZE", 40)
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(30, 8))
+    rows = [(i, (centres[i % 30] + 0.12 * r.normal(size=8)).round(4).tolist()) for i in range(400)]
+    rows += [(500 + i, rows[3][1]) for i in range(60)] + [(600, None), (601, []), (602, [0.0] * 8), (603, [float("nan")] * 8), (604, [None] * 8), (605, [1.0] * 4), (606, [float("inf")] + [1.0] * 7), (607, [-0.0] * 7 + [1.0]), (608, [0.0] * 7 + [1.0])]
+    df = spark.createDataFrame([(i, v, 1, "k", 0) for i, v in rows] + [(3, rows[3][1], 1, "k", 0)], "vec_id long, embedding array<float>, n int, key string, id int")
+    found = vectors.near_duplicates(df).collect()
+    assert len(found) == len(rows) + 1
+    want = brute_vectors([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
+    got = {x.vec_id: (x.n_links, x.component_id) for x in found}
+    total = sum(v[0] for v in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(v[0] for v in got.values()) >= 0.9 * total
+    assert all(x.kept == (x.vec_id == x.component_id) for x in found)
+    assert got[603] == (0, 603) and got[607] == got[608] == (1, 607)
+
+
+def test_vectors_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert vectors.near_duplicates(empty).collect() == []
+    none = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
+    assert {(r.vec_id, r.n_links, r.kept) for r in vectors.near_duplicates(none).collect()} == {(1, 0, True), (2, 0, True)}
