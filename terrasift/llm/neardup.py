@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal results; an empty table gives an empty one; other columns are ignored.
     """
     sig = keep(signatures(docs, id_col, text_col, k))
-    classes = sig.where("n_shingles > 0").groupBy("seq").agg(F.min("id").alias("rep"))
+    # Written first: a join with a plain table is one whose large partitions Spark can split.
+    classes = keep(sig.where("n_shingles > 0").groupBy("seq").agg(F.min("id").alias("rep")))
     reps = keep(sig.where("n_shingles > 0").groupBy("seq").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     member = reps.select("id", F.explode("bands").alias("key"))
     bucket = member.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
