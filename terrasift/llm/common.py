@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -43,7 +44,23 @@ def keep(df: DataFrame, rows_at_once: int | None = None) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(batch, before)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what keep() wrote, once nothing needs it any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 #: The most ids (of 8 bytes) that are broadcast; more take a shuffled join.

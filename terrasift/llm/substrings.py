@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import keep, map_arrow, only_ids, slices, utf8
+from .common import drop, keep, map_arrow, only_ids, release, slices, utf8
 
 #: Words of a window (k-mer), and of the seed that stands for it.
 WINDOW, SEED = 20, 6
@@ -135,22 +135,16 @@ class Repeats:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED):
         self.window = window
         self.texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        kept = keep(seeds(self.texts, window, seed))
-        self.whole = kept.select("id", "n_words", "whole")
-        first = kept.where(F.col("n_words") >= window).groupBy("whole").agg(F.min("id").alias("first"))
-        self.copies = keep(self.whole.join(first, "whole").where("id <> first").select("id").distinct())
-
-        each = kept.select("id", F.explode("seeds").alias("s"))
-        often = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s")
-        own = each.join(often, "s").join(self.copies, "id", "left_anti").groupBy("id").agg(F.collect_set("s").alias("seeds"))
-        own = keep(own)
-        wanted = only_ids(self.texts, own.select("id"), "id").join(own, "id")
-        found = keep(edges(wanted, window, seed), rows_at_once=2000)
-
+        spark = docs.sparkSession
+        found = self._edges(seed)
+        release(spark)
         once = found.where(~F.col("again"))
         least = once.groupBy("h").agg(F.min(F.struct("id", "at", "nodes")).alias("least"), F.count("*").alias("n")).where("n > 1")
         repeated = keep(least.select("h", F.col("least.id").alias("source"), F.col("least.at").alias("at"), F.col("least.nodes").alias("nodes"), "n"))
+        del least
+        release(spark)
         self.edges = keep(compacted(repeated))
+        drop(repeated)
 
         source = self.edges.select("h", "source", F.col("at").alias("source_at"))
         low = F.lit(0xFFFFFFFF)
@@ -158,6 +152,21 @@ class Repeats:
         later = later.select("id", "at").union(found.where("again").select("id", "at"))
         starts = F.array_sort(F.collect_set(F.shiftright("at", 32).cast("int")))
         self.later = keep(later.groupBy("id").agg(starts.alias("starts")))
+        drop(found)
+
+    def _edges(self, seed: int) -> DataFrame:
+        """The edges that can repeat, kept; sets whole and copies."""
+        kept = keep(seeds(self.texts, self.window, seed))
+        self.whole = keep(kept.select("id", "n_words", "whole"))
+        first = self.whole.where(F.col("n_words") >= self.window).groupBy("whole").agg(F.min("id").alias("first"))
+        self.copies = keep(self.whole.join(first, "whole").where("id <> first").select("id").distinct())
+        each = kept.select("id", F.explode("seeds").alias("s"))
+        # Written first: a join with a plain table is one whose large partitions Spark can split.
+        often = keep(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"))
+        own = keep(each.join(often, "s").join(self.copies, "id", "left_anti").groupBy("id").agg(F.collect_set("s").alias("seeds")))
+        drop(kept, often)
+        wanted = only_ids(self.texts, own.select("id"), "id").join(own, "id")
+        return keep(edges(wanted, self.window, seed), rows_at_once=2000)
 
     @property
     def paths(self) -> DataFrame:
