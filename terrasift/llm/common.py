@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,17 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def keep(df: DataFrame, rows_at_once: int | None = None) -> DataFrame:
+def keep(df: DataFrame, rows_at_once: int = 1000) -> DataFrame:
     """Writes df to the shared folder and reads it back: it is computed once, its
-    lineage ends there, and the rows outlive any executor. rows_at_once: rows in
-    an Arrow batch meanwhile, for rows with several texts."""
+    lineage ends there, and the rows outlive any executor. rows_at_once: rows of
+    an Arrow batch meanwhile, which bounds what a worker holds of long texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terrasift/{uuid.uuid4().hex}"
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)
     try:
-        if rows_at_once:
-            spark.conf.set(batch, str(rows_at_once))
+        spark.conf.set(batch, str(rows_at_once))
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(batch, before)

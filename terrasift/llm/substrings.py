@@ -166,7 +166,7 @@ class Repeats:
         own = keep(each.join(often, "s").join(self.copies, "id", "left_anti").groupBy("id").agg(F.collect_set("s").alias("seeds")))
         drop(kept, often)
         wanted = only_ids(self.texts, own.select("id"), "id").join(own, "id")
-        return keep(edges(wanted, self.window, seed), rows_at_once=2000)
+        return keep(edges(wanted, self.window, seed))
 
     @property
     def paths(self) -> DataFrame:

@@ -38,7 +38,7 @@ def _powers_of(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_of(base, max(21, int(n).bit_length()))
+    return _powers_of(base, max(19, int(n).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
