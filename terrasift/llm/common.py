@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -57,9 +58,14 @@ def drop(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of queries that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of queries that nothing refers to any more.
+
+    Python's references go first; the gateway passes that on from another thread,
+    within a second or so, and only then does the JVM's collection find them."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)
+        spark._jvm.System.gc()
 
 
 #: The most ids (of 8 bytes) that are broadcast; more take a shuffled join.

@@ -151,6 +151,7 @@ class Repeats:
         later = once.select("h", "id", "at").join(source, "h").where((F.col("id") != F.col("source")) & (F.col("at").bitwiseAND(low) == F.col("source_at").bitwiseAND(low)))
         later = later.select("id", "at").union(found.where("again").select("id", "at"))
         starts = F.array_sort(F.collect_set(F.shiftright("at", 32).cast("int")))
+        release(spark)
         self.later = keep(later.groupBy("id").agg(starts.alias("starts")))
         drop(found)
 
