@@ -85,8 +85,9 @@ def offsets(k: int) -> list[tuple[int, int]]:
 
 
 def disk(cell: Column, k: int = 1) -> Column:
-    """The cells within k steps, the cell itself included."""
-    return F.array(*(cell + (q * _STEP + r) for q, r in offsets(k)))
+    """The cells within k steps, the cell itself included. The transform takes the cell's
+    own expression, which may be long, once."""
+    return F.element_at(F.transform(F.array(cell), lambda c: F.array(*(c + (q * _STEP + r) for q, r in offsets(k)))), 1)
 
 
 def steps(a: Column, b: Column) -> Column:

@@ -39,9 +39,10 @@ def road_length(segs: DataFrame, lattice: Lattice) -> DataFrame:
     and their neighbours are the only ones it can cross."""
     length = geo.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     n = F.ceil(length / lattice.edge).cast("int") + 1
-    t = lambda i: i / n
-    near = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: hexgrid.disk(lattice.cell_xy(F.col("x1") + (F.col("x2") - F.col("x1")) * t(i), F.col("y1") + (F.col("y2") - F.col("y1")) * t(i)), 1))))
-    met = segs.withColumn("cell", F.explode(near))
+    at = lambda i: lattice.cell_xy(F.col("x1") + (F.col("x2") - F.col("x1")) * (i / n), F.col("y1") + (F.col("y2") - F.col("y1")) * (i / n))
+    # The explode below keeps the samples' long expression from being repeated.
+    sampled = segs.withColumn("seen", F.transform(F.sequence(F.lit(0), n), at))
+    met = sampled.withColumn("cell", F.explode(F.array_distinct(F.flatten(F.transform("seen", lambda c: hexgrid.disk(c, 1)))))).drop("seen")
     inside = geo.clipped_length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), lattice.ring(F.col("cell")))
     return met.withColumn("km", inside).where("km > 0").groupBy("city", "cell").agg(F.sum("km").alias("road_density_km"))
 

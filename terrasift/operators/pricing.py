@@ -253,7 +253,8 @@ def market_frame(observations: DataFrame, reference: DataFrame) -> DataFrame:
 
 def imported(existing: DataFrame, incoming: DataFrame, model: dict) -> DataFrame:
     """Both tables' listings, normalised and deduplicated together, the existing first."""
-    numbered = lambda df, base: df.drop("_seq").withColumn("_seq", F.monotonically_increasing_id() + base)
+    written = lambda df: df.drop("_seq").select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.drop("_seq").columns))
+    numbered = lambda df, base: written(df).withColumn("_seq", F.monotonically_increasing_id() + base)
     return normalize_listings(numbered(existing, 0).unionByName(numbered(incoming, 1 << 60), allowMissingColumns=True), model)
 
 

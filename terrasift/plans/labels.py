@@ -25,11 +25,11 @@ def raw_listings(spark, d):
         F.when(F.col("l_quantity") > 3, F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise("soon").alias("observed_at"),
         F.concat(F.lit("City of C"), (F.col("l_suppkey") % 25).cast("string"), F.lit(", P")).alias("city"),
         kind.alias("property_type"),
-        F.concat(F.lit("PHP "), F.format_string("%.0f", F.floor("l_extendedprice"))).alias("price"),
-        F.concat(F.format_string("%.0f", F.floor("l_quantity")), F.lit(" sqm")).alias("lot_area"),
+        F.concat(F.lit("PHP "), F.floor("l_extendedprice").cast("string")).alias("price"),
+        F.concat(F.floor("l_quantity").cast("string"), F.lit(" sqm")).alias("lot_area"),
         (4 + F.col("l_partkey") % 20).cast("double").alias("lat"),
         F.lit(120.5).alias("lng"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_seq"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("_seq"),
     )
 
 
@@ -40,7 +40,7 @@ def listing_normalization(spark, d):
 
 QUERIES["listing_normalization"] = listing_normalization
 _CHECKED = f"""
-WITH raw AS (SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_linenumber < 6 THEN 'L' || (l_orderkey % 5000) END AS listing_id, CASE WHEN l_suppkey % 17 <> 0 THEN 'site ' || (l_suppkey % 3) END AS source,
+WITH raw AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, CASE WHEN l_linenumber < 6 THEN 'L' || (l_orderkey % 5000) END AS listing_id, CASE WHEN l_suppkey % 17 <> 0 THEN 'site ' || (l_suppkey % 3) END AS source,
     (CASE WHEN l_partkey % 13 = 0 THEN 'ftp://x/' ELSE 'https://x/' END) || (l_partkey % 400) AS source_url, CASE WHEN l_quantity > 3 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE 'soon' END AS observed_at,
     'City of C' || (l_suppkey % 25) || ', P' AS city, CASE l_partkey % 6 {' '.join(f"WHEN {i} THEN {'NULL' if k is None else repr(k)}" for i, k in enumerate(KINDS))} END AS kind,
     'PHP ' || floor(l_extendedprice)::BIGINT AS price, floor(l_quantity)::BIGINT || ' sqm' AS area, (4 + l_partkey % 20)::DOUBLE AS latitude FROM lineitem),
@@ -75,7 +75,7 @@ def observations(spark, d):
     return o.select(
         (F.col("o_orderkey") % 9000).cast("string").alias("market_id"), F.concat(F.lit("City of "), F.initcap("n_name")).alias("city"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("province"), F.col("c_mktsegment").alias("market_area"),
         F.when(F.col("o_orderkey") % 7 == 0, "Residential lot").otherwise("Commercial lot").alias("property_type"), F.lit("site").alias("source"), F.lit("https://x").alias("source_url"), F.lit(None).cast("string").alias("notes"),
-        F.round(F.col("o_totalprice") / 10, 2).alias("price_per_sqm_php"), (F.col("o_orderkey") % 4).cast("double").alias("underlying_listings"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("observed_at"), F.col("o_orderkey").alias("_seq"),
+        F.col("o_totalprice").alias("price_per_sqm_php"), (F.col("o_orderkey") % 4).cast("double").alias("underlying_listings"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("observed_at"), F.col("o_orderkey").alias("_seq"),
     )
 
 
@@ -85,9 +85,9 @@ def market_normalization(spark, d):
 
 
 QUERIES["market_normalization"] = market_normalization
-_OBS = f"""obs AS (SELECT (o_orderkey % 9000)::VARCHAR AS market_id, {area_key_sql("'City of ' || n_name")} AS city_key, {area_key_sql("'R' || n_regionkey")} AS province_key, n_nationkey, round(o_totalprice / 10, 2) AS price,
+_OBS = f"""obs AS (SELECT (o_orderkey % 9000)::VARCHAR AS market_id, {area_key_sql("'City of ' || n_name")} AS city_key, {area_key_sql("'R' || n_regionkey")} AS province_key, n_nationkey, o_totalprice AS price,
   greatest(1.0::DOUBLE, (o_orderkey % 4)::DOUBLE) AS listings, o_orderkey AS seq, c_mktsegment AS market_area FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_orderkey % 7 <> 0 AND round(o_totalprice / 10, 2) BETWEEN 250 AND 1000000 QUALIFY row_number() OVER (PARTITION BY o_orderkey % 9000 ORDER BY o_orderkey DESC) = 1)"""
+  WHERE o_orderkey % 7 <> 0 AND o_totalprice BETWEEN 250 AND 1000000 QUALIFY row_number() OVER (PARTITION BY o_orderkey % 9000 ORDER BY o_orderkey DESC) = 1)"""
 ORACLES["market_normalization"] = f"WITH {_OBS} SELECT market_id, city_key || '|' || province_key AS market_group, price AS price_per_sqm_php, listings AS underlying_listings, seq FROM obs"
 
 
@@ -183,7 +183,7 @@ def price_dispatch(spark, d):
     anchor = pricing.anchors(obs, MODEL).join(key, "city_key").where("n_nationkey % 4 = 0 and n_nationkey < 12")
     seen = pricing.calibrations(obs).join(key, "city_key").where("n_nationkey % 4 = 2 and n_nationkey < 12")
     out = pricing.price_cells(priced_cells(spark, d), anchor, seen, compared(spark, d), MODEL, -0.2, 0.3)
-    return out.select("c_custkey", "price_source", *(F.round(c, 2).alias(c) for c in pricing.PRICES))
+    return out.select("c_custkey", "price_source", *(F.round(c, 4).alias(c) for c in pricing.PRICES))
 
 
 QUERIES["price_dispatch"] = price_dispatch
@@ -195,8 +195,8 @@ src AS (SELECT *, CASE WHEN NOT in_metro THEN NULL WHEN pa IS NOT NULL THEN 'top
 surf AS (SELECT *, quantile_cont(score, 0.9) OVER (PARTITION BY city_key, price_source) AS q, avg(score) OVER (PARTITION BY city_key, price_source) AS ms FROM src),
 est AS (SELECT *, CASE price_source WHEN 'top_market_anchor' THEN pa * least(greatest(pow(score / q, 0.65::DOUBLE), 0.1), 1.35) WHEN 'observed_market_calibration' THEN ps * score / ms WHEN 'deposit_per_cell_comparable_cities' THEN pk * score / ms END AS p,
   CASE price_source WHEN 'top_market_anchor' THEN -ha WHEN 'deposit_per_cell_comparable_cities' THEN -hk ELSE -0.2 END AS lo, CASE price_source WHEN 'top_market_anchor' THEN ha WHEN 'deposit_per_cell_comparable_cities' THEN hk ELSE 0.3 END AS hi FROM surf)
-SELECT c_custkey, price_source, CASE WHEN p IS NULL THEN NULL ELSE round(least(greatest(p, 250), 1000000), 2) END AS land_price_php_sqm, CASE WHEN p IS NULL THEN NULL ELSE round(least(greatest(p * exp(lo), 250), 1000000), 2) END AS land_price_low_php_sqm,
-  CASE WHEN p IS NULL THEN NULL ELSE round(least(greatest(p * exp(hi), 250), 1000000), 2) END AS land_price_high_php_sqm, CASE WHEN p IS NULL THEN NULL ELSE round(CASE WHEN price_source = 'top_market_anchor' THEN pa WHEN price_source = 'observed_market_calibration' THEN ps ELSE pk END, 2) END AS land_price_market_baseline_php_sqm FROM est"""
+SELECT c_custkey, price_source, CASE WHEN p IS NULL THEN NULL ELSE round(least(greatest(p, 250), 1000000), 4) END AS land_price_php_sqm, CASE WHEN p IS NULL THEN NULL ELSE round(least(greatest(p * exp(lo), 250), 1000000), 4) END AS land_price_low_php_sqm,
+  CASE WHEN p IS NULL THEN NULL ELSE round(least(greatest(p * exp(hi), 250), 1000000), 4) END AS land_price_high_php_sqm, CASE WHEN p IS NULL THEN NULL ELSE round(CASE WHEN price_source = 'top_market_anchor' THEN pa WHEN price_source = 'observed_market_calibration' THEN ps ELSE pk END, 4) END AS land_price_market_baseline_php_sqm FROM est"""
 
 
 def anchor_price_surface(spark, d):
