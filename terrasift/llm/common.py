@@ -98,9 +98,23 @@ def ship(spark: SparkSession) -> None:
     sc._terrasift_shipped = True
 
 
+#: The most rows that the session's readers and Arrow batches take at once: rows hold
+#: whole texts, and thousands of long ones make buffers that a small heap cannot place.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch sizes to BATCH_ROWS; lower ones stay."""
+    for name, most in BATCH_ROWS.items():
+        now = int(spark.conf.get(name))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow, with this package on the executors."""
+    """df.mapInArrow, with this package on the executors, in small batches."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
