@@ -54,9 +54,9 @@ def checked_listings(raw: DataFrame, model: dict) -> DataFrame:
     """Listings in canonical columns with the four checks ok_type, ok_price, ok_location
     and ok_provenance. A column _seq gives the rows' order; without one, equal rows
     are ordered by their contents."""
-    df = relational.conform(raw.withColumnRenamed("h3", "cell"), LISTINGS, LISTING_ALIASES)
+    df = relational.settled(relational.conform(raw.withColumnRenamed("h3", "cell"), LISTINGS, LISTING_ALIASES))
     df = df.withColumn("price_per_sqm_php", text.unit_price(F.col("price_per_sqm_php"), F.col("price_php"), F.col("lot_area_sqm")))
-    df = df.withColumn("property_type", text.property_type(F.col("property_type")))
+    df = relational.settled(df.withColumn("property_type", text.property_type(F.col("property_type"))))
     return df.withColumns({
         "ok_type": commercial_land(F.col("property_type"), model),
         "ok_price": price_ok(F.col("price_per_sqm_php"), model),
@@ -77,11 +77,11 @@ def reject_counts(checked: DataFrame) -> DataFrame:
 def deduplicated(listings: DataFrame) -> DataFrame:
     """The first row of each source and listing id, then the last of each
     (source_url, latitude, longitude, price)."""
-    order = F.struct(F.coalesce("_seq", F.lit(0)), *(c for c in listings.columns if c != "_seq"))
+    # Rows of one place in the order, or of none, are told apart by their contents.
+    order = F.struct(F.coalesce("_seq", F.lit(0)), F.xxhash64(*listings.columns))
     own = F.when(text.filled(F.col("listing_id")), F.concat_ws("|", F.coalesce("source", F.lit("")), "listing_id"))
-    df = listings.withColumn("_order", order).withColumn("_id", own)
-    with_id = relational.pick(df.where(F.col("_id").isNotNull()), ["_id"], F.col("_order"))
-    df = with_id.unionByName(df.where(F.col("_id").isNull()))
+    df = listings.withColumn("_order", order)
+    df = relational.pick(df.withColumn("_id", F.coalesce(own, F.concat(F.lit("no id "), F.col("_order").cast("string")))), ["_id"], F.col("_order"))
     return relational.pick(df, ["source_url", "latitude", "longitude", "price_per_sqm_php"], F.col("_order").desc()).drop("_order", "_id")
 
 

@@ -38,6 +38,13 @@ def conform(df: DataFrame, schema: T.StructType, aliases: dict[str, str] | None
     return df.select(*(F.coalesce(*(cast(s, f.dataType) for s in found[f.name])).alias(f.name) if f.name in found else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df whose columns are computed once, however often later expressions name them:
+    the optimiser does not copy expressions past a generated row."""
+    row = f"r_{uuid.uuid4().hex}"
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias(row)).select(f"{row}.*")
+
+
 def pick(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order, by one window over rows of a key."""
     n = f"n_{uuid.uuid4().hex}"

@@ -29,7 +29,7 @@ def raw_listings(spark, d):
         F.concat(F.floor("l_quantity").cast("string"), F.lit(" sqm")).alias("lot_area"),
         (4 + F.col("l_partkey") % 20).cast("double").alias("lat"),
         F.lit(120.5).alias("lng"),
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("_seq"),
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("_seq"),
     )
 
 
@@ -40,7 +40,7 @@ def listing_normalization(spark, d):
 
 QUERIES["listing_normalization"] = listing_normalization
 _CHECKED = f"""
-WITH raw AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq, CASE WHEN l_linenumber < 6 THEN 'L' || (l_orderkey % 5000) END AS listing_id, CASE WHEN l_suppkey % 17 <> 0 THEN 'site ' || (l_suppkey % 3) END AS source,
+WITH raw AS (SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS seq, CASE WHEN l_linenumber < 6 THEN 'L' || (l_orderkey % 5000) END AS listing_id, CASE WHEN l_suppkey % 17 <> 0 THEN 'site ' || (l_suppkey % 3) END AS source,
     (CASE WHEN l_partkey % 13 = 0 THEN 'ftp://x/' ELSE 'https://x/' END) || (l_partkey % 400) AS source_url, CASE WHEN l_quantity > 3 THEN strftime(l_shipdate, '%Y-%m-%d') ELSE 'soon' END AS observed_at,
     'City of C' || (l_suppkey % 25) || ', P' AS city, CASE l_partkey % 6 {' '.join(f"WHEN {i} THEN {'NULL' if k is None else repr(k)}" for i, k in enumerate(KINDS))} END AS kind,
     'PHP ' || floor(l_extendedprice)::BIGINT AS price, floor(l_quantity)::BIGINT || ' sqm' AS area, (4 + l_partkey % 20)::DOUBLE AS latitude FROM lineitem),
