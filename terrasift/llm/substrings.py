@@ -159,7 +159,7 @@ class Repeats:
         """The edges that can repeat, kept; sets whole and copies."""
         kept = keep(seeds(self.texts, self.window, seed))
         self.whole = keep(kept.select("id", "n_words", "whole"))
-        first = self.whole.where(F.col("n_words") >= self.window).groupBy("whole").agg(F.min("id").alias("first"))
+        first = keep(self.whole.where(F.col("n_words") >= self.window).groupBy("whole").agg(F.min("id").alias("first")))
         self.copies = keep(self.whole.join(first, "whole").where("id <> first").select("id").distinct())
         each = kept.select("id", F.explode("seeds").alias("s"))
         # Written first: a join with a plain table is one whose large partitions Spark can split.
