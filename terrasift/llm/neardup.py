@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Members that their bucket's smallest did not connect may still link with each other.
     marked = shared.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    apart = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("same"))
-    # Bands whose buckets hold the same members are compared once.
-    apart = apart.where("low <> high").groupBy("same", "n").agg(F.min("key").alias("key"))
+    apart = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("id")).alias("one"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("two"))
+    # Bands whose buckets hold the same members (equal in 128 bits of hash) are compared once.
+    apart = apart.where("low <> high").groupBy("one", "two", "n").agg(F.min("key").alias("key"))
     left = keep(marked.join(apart.select("key", "n"), "key"))
     more = keep(_blocks(left, only_ids(source, left.select("id").distinct(), "id"), k, percent))
     # The second time, labels stand for the components so far.
