@@ -51,11 +51,12 @@ def _bins(x: Column, y: Column, size: float) -> tuple[Column, Column]:
     return F.floor(x / size).alias("bx"), F.floor(y / size).alias("by")
 
 
-def _spread(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
-    """Each row once for each of the nine bins around it."""
+def _spread(df: DataFrame, x: Column, y: Column, size: float, key: list[str]) -> DataFrame:
+    """Each row once for each of the nine bins around it, dealt by key: the pairs that a
+    row makes are then summed where they are made, and few input files still give many tasks."""
     bx, by = _bins(x, y, size)
     ways = F.array(*(F.struct((bx + i).alias("bx"), (by + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    return df.withColumn("b", F.explode(ways)).select("*", "b.bx", "b.by").drop("b")
+    return df.repartition(*key).withColumn("b", F.explode(ways)).select("*", "b.bx", "b.by").drop("b")
 
 
 def gravity(cells: DataFrame, pois: DataFrame, scale_km: float, key: list[str], cutoff: float = CUTOFF) -> DataFrame:
@@ -68,7 +69,7 @@ def gravity(cells: DataFrame, pois: DataFrame, scale_km: float, key: list[str],
     places = pois.groupBy("city", F.col("x").alias("px"), F.col("y").alias("py")).agg(F.sum("weight").alias("weight"))
     bx, by = _bins(F.col("px"), F.col("py"), size)
     d = geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
-    met = _spread(cells.select(*key, "city", "x", "y"), F.col("x"), F.col("y"), size).join(places.select("city", "px", "py", "weight", bx, by), ["city", "bx", "by"])
+    met = _spread(cells.select(*key, "city", "x", "y"), F.col("x"), F.col("y"), size, key).join(places.select("city", "px", "py", "weight", bx, by), ["city", "bx", "by"])
     met = met.withColumn("d", d).where(F.col("d") <= size)
     return met.groupBy(*key).agg(F.sum(F.col("weight") * F.exp(-F.col("d") / scale_km)).alias("establishment_access"))
 
@@ -80,7 +81,7 @@ def nearest_segment(cells: DataFrame, segs: DataFrame, key: list[str], reach_km:
     lo = lambda a, b: F.floor(F.least(a, b) / reach_km)
     hi = lambda a, b: F.floor(F.greatest(a, b) / reach_km)
     put = segs.withColumn("bx", F.explode(F.sequence(lo("x1", "x2"), hi("x1", "x2")))).withColumn("by", F.explode(F.sequence(lo("y1", "y2"), hi("y1", "y2"))))
-    met = _spread(cells.select(*key, "city", "x", "y"), x, y, reach_km).join(put.select("city", "bx", "by", "x1", "y1", "x2", "y2"), ["city", "bx", "by"])
+    met = _spread(cells.select(*key, "city", "x", "y"), x, y, reach_km, key).join(put.select("city", "bx", "by", "x1", "y1", "x2", "y2"), ["city", "bx", "by"])
     d = geo.point_segment_km(x, y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     return met.withColumn("d", d).where(F.col("d") <= reach_km).groupBy(*key).agg(F.min("d").alias("dist_major_road_km"))
 
@@ -103,9 +104,12 @@ def nearest_point(cells: DataFrame, points: DataFrame, key: str, point: str, rea
     """(key, point, distance): the nearest point within reach, ties to the smaller point
     id. Both sides have city, x, y; points px, py; distance is an expression over both."""
     bx, by = _bins(F.col("px"), F.col("py"), reach_km)
-    met = _spread(cells, F.col("x"), F.col("y"), reach_km).join(points.select("*", bx, by), ["city", "bx", "by"])
-    best = F.min(F.struct(distance.alias("distance"), F.col(point))).alias("best")
-    return met.groupBy(key).agg(best).select(key, f"best.{point}", "best.distance")
+    met = lambda left: _spread(left, F.col("x"), F.col("y"), reach_km, [key]).join(points.select("*", bx, by), ["city", "bx", "by"])
+    # Pairs are made twice, for the distance and then for who is at it: cheaper than one
+    # aggregate over (distance, point), which would have to sort them all.
+    least = met(cells).groupBy(key).agg(F.min(distance).alias("_least"))
+    there = met(cells.join(least, key)).where(distance == F.col("_least"))
+    return there.groupBy(key).agg(F.min(point).alias(point), F.first("_least").alias("distance"))
 
 
 def smoothed(cells: DataFrame, value: str, out: str, k: int = 2) -> DataFrame:
