@@ -3,7 +3,7 @@
 Equal vectors are first folded into one. A coarse quantiser deals unit vectors to
 lists by their nearest centroid; what is left of a vector, its residual, is coded
 in subspaces. A vector visits its own list and every list whose border is within
-reach; there, table look-ups give its distance to each code, and a pair stays a
+half the radius; there, table look-ups give its distance to each code, and a pair stays a
 candidate unless that distance, less the exactly known coding error, is beyond
 the radius, so coding loses no pair. Candidates get their exact cosine in double
 precision.
@@ -33,8 +33,8 @@ LIST_SIZE, MOST_LISTS = 512, 4096
 SUBSPACES, CODES = 8, 256
 #: Vectors of a part of a list.
 PART = 1024
-#: A border is in reach at this many standard deviations of a random direction of the radius.
-REACH = 3.0
+#: Rounding allowed for where a border lies.
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -82,13 +82,15 @@ def encode(x: np.ndarray, home: np.ndarray, q: Quantiser) -> tuple[np.ndarray, n
 
 
 def probes(x: np.ndarray, home: np.ndarray, q: Quantiser, radius: float) -> list[np.ndarray]:
-    """The lists whose border with the home list is within reach, home first."""
+    """The lists whose border with the home list is within half the radius, home first.
+
+    The two of a linked pair lie on both sides of the border of their lists, at most the
+    radius apart; so one of them is within half of it and asks in the other's list."""
     c = q.centroids
-    reach = radius * min(1.0, REACH / np.sqrt(x.shape[1]))
     square = (c * c).sum(1)[None, :] - 2 * x @ c.T
     gap = np.sqrt(np.maximum(0, ((c * c).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * c @ c.T)))[home]
     beyond = square - square[np.arange(len(x)), home][:, None]
-    near = beyond <= 2 * reach * gap
+    near = beyond <= radius * gap + SLACK
     near[np.arange(len(x)), home] = False
     return [np.append(h, np.flatnonzero(row)) for h, row in zip(home, near, strict=True)]
 

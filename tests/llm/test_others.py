@@ -230,3 +230,27 @@ def test_vectors_of_empty_tables(spark):
     assert vectors.near_duplicates(empty).collect() == []
     none = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert {(r.vec_id, r.n_links, r.kept) for r in vectors.near_duplicates(none).collect()} == {(1, 0, True), (2, 0, True)}
+
+
+@pytest.mark.parametrize("dim", [2, 64, 768])
+def test_a_pair_across_a_border_is_probed_from_one_side(dim):
+    radius = math.sqrt(2 - 2 * 0.95)
+    at = lambda a: [math.cos(a), math.sin(a)] + [0.0] * (dim - 2)
+    q = vectors.Quantiser(np.array([at(-0.6), at(0.6)]), np.zeros((vectors.SUBSPACES, 1, 1)))
+    x = np.array([at(-0.499 * radius), at(0.499 * radius)])
+    assert x[0] @ x[1] >= 0.95
+    assert [p.tolist() for p in vectors.probes(x, np.array([0, 1]), q, radius)] == [[0, 1], [1, 0]]
+
+
+def test_vectors_link_across_lists(spark, monkeypatch):
+    """The two of the only linked pair lie on both sides of the border, apart along the centroids' gap."""
+    monkeypatch.setattr(vectors, "LIST_SIZE", 50)
+    rng, rows = np.random.default_rng(4), []
+    for i in range(100):
+        v = rng.normal(0, 0.06, 64)
+        v[:2] = math.cos(0.6), math.sin(0.6) * (-1) ** i
+        rows.append((i, v.tolist()))
+    a = 0.45 * math.sqrt(2 - 2 * 0.95)
+    rows += [(100 + k, [math.cos(a), math.sin(a) * (-1) ** k] + [0.0] * 62) for k in (0, 1)]
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found[100] == (1, 100, True) and found[101] == (1, 100, False)
