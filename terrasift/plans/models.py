@@ -53,12 +53,19 @@ def gbt_absolute(spark, d):
 QUERIES["gbt_absolute"] = gbt_absolute
 
 
-def simplex_weight_fit(spark, d):
-    """Component weights learned from a dozen labelled cells of the accessibility index."""
+def labelled_cells(spark, d):
+    """A labelled cell per nation and segment: the means of all its scored cells by their
+    listings, which are summed. So every cell counts, and the rows do not grow with the table."""
     from .access import scored
 
-    cells = scored(spark, d).where("c_custkey <= 12").select("c_custkey", *(f"norm_{c}" for c in COMPONENTS), (1000 + F.greatest("c_acctbal", F.lit(0.0))).alias("price_per_sqm_php"), (F.col("c_custkey") % 4 + 1).cast("double").alias("listing_observations"))
-    found = learning.fit_weight_model(cells, DEFAULTS["weight_model"])
+    cells = scored(spark, d).withColumn("price", 1000 + F.greatest("c_acctbal", F.lit(0.0))).withColumn("n", (F.col("c_custkey") % 4 + 1).cast("double"))
+    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum(F.when(F.col(c).isNotNull(), F.col("n")))
+    return cells.groupBy("nation", "c_mktsegment").agg(*(mean(f"norm_{c}").alias(f"norm_{c}") for c in COMPONENTS), mean("price").alias("price_per_sqm_php"), F.sum("n").alias("listing_observations"))
+
+
+def simplex_weight_fit(spark, d):
+    """Component weights learned from all labelled cells of the accessibility index."""
+    found = learning.fit_weight_model(labelled_cells(spark, d), DEFAULTS["weight_model"])
     return spark.createDataFrame([(c, round(w, 4), found["minimum_weights"][c]) for c, w in found["weights"].items()], "component string, weight double, floor double")
 
 

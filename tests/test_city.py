@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terrasift.config import Config
 from terrasift.functions.hexgrid import Lattice
+from terrasift.operators import learning
 from terrasift.plans import catalogue, city
 from terrasift.sources import readers, sinks
 
@@ -64,3 +65,15 @@ def test_feature_table_is_read_by_city(spark, tmp_path):
     df = spark.createDataFrame([(0, 1), (1, 2)], "city int, cell long")
     sinks.write_features(df, f"{tmp_path}/f")
     assert spark.read.parquet(f"{tmp_path}/f").where(F.col("city") == 1).count() == 1
+
+
+def test_weights_are_fitted_on_every_customer(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(learning, "fit_weight_model", lambda labels, model: seen.append(labels.collect()) or {"weights": {}, "minimum_weights": {}})
+    catalogue.QUERIES["simplex_weight_fit"](spark, SF)
+    customers = spark.read.parquet(f"{SF}/customer.parquet")
+    n = customers.agg(F.sum(F.col("c_custkey") % 4 + 1)).first()[0]
+    assert sum(r.listing_observations for r in seen[0]) == n
+    assert len(seen[0]) == customers.select("c_nationkey", "c_mktsegment").distinct().count()
+    price = customers.agg(F.sum((1000 + F.greatest("c_acctbal", F.lit(0.0))) * (F.col("c_custkey") % 4 + 1))).first()[0]
+    assert sum(r.price_per_sqm_php * r.listing_observations for r in seen[0]) == pytest.approx(price)
