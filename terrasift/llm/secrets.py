@@ -132,7 +132,8 @@ def hot_range(string: Column, c: CharClass) -> Column:
 
 def _entropy(text: Column, base: Column, rank: int, c: CharClass, allow: tuple[str, ...]) -> Column:
     wanted = lambda m: _all([m["hit"].rlike(p) for p in c.needs] + [~m["hit"].rlike(p) for p in allow])
-    free = lambda m: ~F.exists(base, lambda b: (b["start"] < m["start"] + m["size"]) & (b["end"] > m["start"]))
+    # What a base span covers in part can hold another secret beside it.
+    free = lambda m: ~F.exists(base, lambda b: (b["start"] <= m["start"]) & (b["end"] >= m["start"] + m["size"]))
     candidates = F.filter(_hits(text, c.pattern, 0), lambda m: wanted(m) & free(m))
     ranges = F.transform(candidates, lambda m: F.struct(m["start"].alias("start"), hot_range(m["hit"], c).alias("hot")))
     hot = F.filter(ranges, lambda r: r["hot"]["first"].isNotNull())
