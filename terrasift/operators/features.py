@@ -14,6 +14,8 @@ from . import stats
 
 #: Beyond so many scales an establishment adds under 2e-11 of its weight.
 CUTOFF = 25.0
+#: Blocks of a city's cells, each of which meets all the city's segments or points.
+BLOCKS = 64
 
 
 def poi_counts(cells: DataFrame, pois: DataFrame, lattice: Lattice, categories: list[str]) -> DataFrame:
@@ -86,9 +88,15 @@ def nearest_segment(cells: DataFrame, segs: DataFrame, key: list[str], reach_km:
     return met.withColumn("d", d).where(F.col("d") <= reach_km).groupBy(*key).agg(F.min("d").alias("dist_major_road_km"))
 
 
+def _all_of_city(cells: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """Each cell with every row of others in its city, dealt by blocks of cells."""
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(BLOCKS)).cast("int"))
+    return dealt.join(others.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))), ["city", "block"])
+
+
 def nearest_road(cells: DataFrame, segs: DataFrame, key: list[str], reach_km: float = 2.0, most_km: float = 256.0) -> DataFrame:
-    """cells with dist_major_road_km; rings of bins grow until every cell has met a
-    segment or most_km is reached (then null)."""
+    """cells with dist_major_road_km; rings of bins grow to most_km at most, then cells that
+    have met no segment are compared with all of their city; null where it has none."""
     left, found = cells, None
     while reach_km <= most_km:
         near = nearest_segment(left, segs, key, reach_km)
@@ -96,20 +104,41 @@ def nearest_road(cells: DataFrame, segs: DataFrame, key: list[str], reach_km: fl
         left = left.join(near.select(*key), key, "left_anti")
         reach_km *= 4
         if left.isEmpty():
-            break
-    return cells.join(found, key, "left")
-
-
-def nearest_point(cells: DataFrame, points: DataFrame, key: str, point: str, reach_km: float, distance: Column) -> DataFrame:
-    """(key, point, distance): the nearest point within reach, ties to the smaller point
-    id. Both sides have city, x, y; points px, py; distance is an expression over both."""
-    bx, by = _bins(F.col("px"), F.col("py"), reach_km)
-    met = lambda left: _spread(left, F.col("x"), F.col("y"), reach_km, [key]).join(points.select("*", bx, by), ["city", "bx", "by"])
-    # Pairs are made twice, for the distance and then for who is at it: cheaper than one
-    # aggregate over (distance, point), which would have to sort them all.
-    least = met(cells).groupBy(key).agg(F.min(distance).alias("_least"))
-    there = met(cells.join(least, key)).where(distance == F.col("_least"))
-    return there.groupBy(key).agg(F.min(point).alias(point), F.first("_least").alias("distance"))
+            return cells.join(found, key, "left")
+    met = _all_of_city(left.select(*dict.fromkeys([*key, "city", "x", "y"])), segs.select("city", "x1", "y1", "x2", "y2"), key)
+    d = geo.point_segment_km(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    far = met.groupBy(*key).agg(F.min(d).alias("dist_major_road_km"))
+    return cells.join(far if found is None else found.unionByName(far), key, "left")
+
+
+def nearest_point(cells: DataFrame, points: DataFrame, key: str, point: str, reach_km: float, distance: Column, most_km: float = 256.0, stretch: float = 1.0) -> DataFrame:
+    """(key, point, distance): the nearest point of the city, ties to the smaller point
+    id. Both sides have city, x, y; points px, py; distance is an expression over both,
+    and a distance on the plane is at most stretch times it.
+
+    Rings of bins grow to most_km at most; a point counts once no point outside the ring
+    can be nearer. Cells left then are compared with all points of their city."""
+
+    def best(met) -> tuple[DataFrame, DataFrame]:
+        # Pairs are made twice, for the distance and then for who is at it: cheaper than one
+        # aggregate over (distance, point), which would have to sort them all.
+        least = keep(met(left).groupBy(key).agg(F.min(distance).alias("_least")).where(F.col("_least") <= sure))
+        there = met(left.join(least, key)).where(distance == F.col("_least"))
+        return least, there.groupBy(key).agg(F.min(point).alias(point), F.first("_least").alias("distance"))
+
+    left, found = cells, None
+    while reach_km <= most_km:
+        bx, by = _bins(F.col("px"), F.col("py"), reach_km)
+        size, sure = reach_km, reach_km / stretch
+        least, near = best(lambda c: _spread(c, F.col("x"), F.col("y"), size, [key]).join(points.select("*", bx, by), ["city", "bx", "by"]))
+        found = near if found is None else found.unionByName(near)
+        left = left.join(least.select(key), key, "left_anti")
+        reach_km *= 4
+        if left.isEmpty():
+            return found
+    sure = math.inf
+    far = best(lambda c: _all_of_city(c, points, [key]))[1]
+    return far if found is None else found.unionByName(far)
 
 
 def smoothed(cells: DataFrame, value: str, out: str, k: int = 2) -> DataFrame:

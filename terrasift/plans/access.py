@@ -40,6 +40,7 @@ def haversine_nearest_supplier(spark, d):
         customers(spark, d).select("c_custkey", "city", "x", "y", "lat", "lng"),
         suppliers(spark, d).select("s_suppkey", "city", F.col("x").alias("px"), F.col("y").alias("py"), F.col("lat").alias("plat"), F.col("lng").alias("plng")),
         "c_custkey", "s_suppkey", 25.0, geo.haversine_km(F.col("lat"), F.col("lng"), F.col("plat"), F.col("plng")),
+        stretch=2.0,  # up to 60 degrees of latitude
     )
     return near.select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance_km"))
 

@@ -103,6 +103,18 @@ def test_geometry(spark):
     assert abs(row[9] - geo.EARTH_KM * math.pi / 2) < 1e-6
 
 
+def test_nearest_is_found_at_any_distance(spark):
+    segs = spark.createDataFrame([(0, 1, True, 0.0, 0.0, 0.0, 1.0), (0, 2, True, 900.0, 0.0, 900.0, 1.0)], "city int, road_id int, is_major boolean, x1 double, y1 double, x2 double, y2 double")
+    cells = spark.createDataFrame([(0, 1, 200.0, 0.5), (0, 2, 400.0, 0.5), (0, 3, 3000.0, 0.5), (1, 4, 0.0, 0.0)], "city int, cell long, x double, y double")
+    assert dict(values(features.nearest_road(cells, segs, ["city", "cell"]), "cell", "dist_major_road_km")) == {1: 200.0, 2: 400.0, 3: 2100.0, 4: None}
+    # The second is the nearest of cell 5, though only the first is in the nine bins of 25 km.
+    points = spark.createDataFrame([(0, 7, 49.0, 49.0), (0, 8, -51.0, 0.0), (0, 9, 900.0, 0.0), (0, 10, 900.0, 0.0)], "city int, point int, px double, py double")
+    cells = spark.createDataFrame([(0, 5, 1.0, 1.0), (0, 6, 400.0, 0.0), (0, 7, 3000.0, 0.0), (0, 8, 48.0, 49.0), (1, 9, 0.0, 0.0)], "city int, cell long, x double, y double")
+    d = geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
+    got = {c: (p, round(km, 6)) for c, p, km in values(features.nearest_point(cells, points, "cell", "point", 25.0, d), "cell", "point", "distance")}
+    assert got == {5: (8, round(math.hypot(52, 1), 6)), 6: (7, round(math.hypot(351, 49), 6)), 7: (9, 2100.0), 8: (7, 1.0)}
+
+
 def grid_of(spark, cells, **columns):
     """Cells from (q, r) pairs."""
     pack = lambda q, r: (q + (1 << 20)) * (1 << 21) + r + (1 << 20)
