@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasift.llm import bpe, decontam, neardup, secrets, toxicity
-from terrasift.llm.common import keep, only_ids, table, without_ids
+from terrasift.llm.common import keep, table, without_ids
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +22,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that shares 0.8 of its five-word shingles, pair by pair, the
-    document with the smallest id stays; of rows with equal ids one."""
-    found = neardup.near_duplicates(docs, k=5, percent=80)
-    rest = without_ids(docs, found.where("not kept").select("doc_id").distinct(), "doc_id")
-    again = keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not again.isEmpty():
-        rest = without_ids(rest, again, "doc_id").union(only_ids(rest, again, "doc_id").select(docs.columns).dropDuplicates(["doc_id"]))
-    return rest.select(docs.columns)
+    document with the smallest id stays. Rows with equal ids are documents of their
+    own while their texts differ, the smallest text first; of equal ones one stays."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        found = neardup.near_duplicates(docs, k=5, percent=80)
+        return without_ids(docs, found.where("not kept").select("doc_id").distinct(), "doc_id").select(docs.columns)
+    known = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    # Numbers of the rows in the order of (doc_id, text): ranges ascend, and rows in them.
+    known = known.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    known = keep(known.withColumn("_row", F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(known, id_col="_row", k=5, percent=80)
+    rest = without_ids(known, found.where("not kept").select("_row"), "_row")
+    return rest.select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,12 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_documents_that_share_an_id_are_told_apart(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(0, f"{b} more"), (1, a), (1, b), (2, c), (2, c), (3, d), (3, "short other text"), (3, f"{d} more"), (4, f"{c} more"), (None, a), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    want = [(0, f"{b} more"), (1, a), (2, c), (3, d), (3, "short other text"), (None, a), (5, None), (5, "")]
+    assert sorted(left, key=str) == sorted(want, key=str)
