@@ -177,7 +177,7 @@ def priced_cells(spark, d):
 
 
 def price_dispatch(spark, d):
-    """Nations 0, 4, 8 have anchors, 2, 6, 10 observed means, odd ones comparables."""
+    """Nations 0, 4, 8 have anchors, 2, 6, 10 observed means, odd ones comparables; even ones from 12 on have no price."""
     obs = pricing.normalize_observations(observations(spark, d), MODEL)
     key = nations(spark, d).select("city_key", "n_nationkey")
     anchor = pricing.anchors(obs, MODEL).join(key, "city_key").where("n_nationkey % 4 = 0 and n_nationkey < 12")
@@ -275,6 +275,7 @@ def reference_rows(spark, d):
 
 
 def best_reference_match(spark, d):
+    """The best reference row of two thirds of the customers, as its SQL has it."""
     from ..operators import relational
 
     asked = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).where("c_custkey % 3 < 2")
