@@ -6,8 +6,9 @@ seed, the 6-word run of least hash in it, and equal windows have equal seeds, so
 windows whose seed occurs once are left out at their document. Of the repeated
 edges, each with the coordinates (document, start) of its first occurrence,
 consecutive ones are compacted into a path where the node between them has one
-edge in and one out. A second hash at the source coordinates confirms every later
-occurrence; those are the passages to remove.
+edge in and one out. Paths are a report; the passages to remove do not come from them:
+every later occurrence of a window is joined singly and confirmed by a second hash at
+the source coordinates.
 """
 
 from __future__ import annotations
