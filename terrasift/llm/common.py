@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import re
 import tempfile
-import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,49 +24,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share. Without spark.checkpoint.dir only a
+    session on one machine (tests) gets a folder of its own; a cluster has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         found = tempfile.mkdtemp(prefix="terrasift-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def keep(df: DataFrame, rows_at_once: int = 1000) -> DataFrame:
-    """Writes df to the shared folder and reads it back: it is computed once, its
-    lineage ends there, and the rows outlive any executor. rows_at_once: rows of
-    an Arrow batch meanwhile, which bounds what a worker holds of long texts."""
-    spark = df.sparkSession
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (with _ for .) that hold inside the block only."""
+    names = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Where keep() writes: the innermost workspace's folder.
+_FOLDERS: ContextVar[tuple[str, ...]] = ContextVar("_FOLDERS", default=())
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside the block go when it ends; settled() ones stay."""
     path = f"{shared_dir(spark)}/terrasift/{uuid.uuid4().hex}"
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
+    token = _FOLDERS.set((*_FOLDERS.get(), path))
     try:
-        spark.conf.set(batch, str(rows_at_once))
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
-        spark.conf.set(batch, before)
+        _FOLDERS.reset(token)
+        _delete(spark, path)
+
+
+def _write(df: DataFrame, folders: tuple[str, ...], rows_at_once: int) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{folders[-1] if folders else shared_dir(spark) + '/terrasift'}/{uuid.uuid4().hex}"
+    # The shuffle files of the query that writes the table go with it.
+    with settings(spark, spark_sql_execution_arrow_maxRecordsPerBatch=str(rows_at_once), spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._kept_at = path
     return kept
 
 
-def drop(*tables: DataFrame) -> None:
-    """Deletes what keep() wrote, once nothing needs it any more."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._kept_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def keep(df: DataFrame, rows_at_once: int = 1000) -> DataFrame:
+    """Writes df to the shared folder and reads it back: it is computed once, its
+    lineage ends there, and the rows outlive any executor. rows_at_once: rows of
+    an Arrow batch meanwhile, which bounds what a worker holds of long texts."""
+    return _write(df, _FOLDERS.get(), rows_at_once)
+
+
+def settled(df: DataFrame, rows_at_once: int = 1000) -> DataFrame:
+    """An operator's result, kept outside its workspace, of which nothing else is left."""
+    return _write(df, _FOLDERS.get()[:-1], rows_at_once)
+
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of queries that nothing refers to any more.
 
-    Python's references go first; the gateway passes that on from another thread,
-    within a second or so, and only then does the JVM's collection find them."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(1.2)
-        spark._jvm.System.gc()
+def drop(*tables: DataFrame) -> None:
+    """Deletes what keep() wrote, once nothing needs it any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._kept_at)
 
 
 #: The most ids (of 8 bytes) that are broadcast; more take a shuffled join.

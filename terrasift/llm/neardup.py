@@ -8,9 +8,11 @@ similarity of the full shingle sets decides.
 
 Two texts of similarity 0.85 share no band with probability 8e-7, of 0.8 with
 6e-5. Within a bucket no pair is emitted: each text is first compared with the
-smallest of its bucket; what is not yet connected then is compared block by
-block, and a block returns a spanning forest of its links. Components so are
-those of all links between texts that share a band.
+smallest of its bucket. Of what is not yet connected then, the members outside the
+bucket's most frequent component meet all others, block by block; a block estimates
+each pair first, compares shingle sets where the estimate allows a link, and returns a
+spanning forest of its links. Components so are those of all links between texts
+that share a band; every link they rest on is confirmed on the words themselves.
 """
 
 from __future__ import annotations
@@ -24,14 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import keep, map_arrow, only_ids, ship, slices, utf8
+from .common import drop, keep, map_arrow, only_ids, settled, ship, slices, utf8, workspace
 from .components import components
 
 BANDS, ROWS, MINIMA, BITS = 24, 5, 128, 4
 #: Six standard deviations of the estimate: below the threshold by more than this, a pair is no link.
 MARGIN = 0.2
-#: Texts of a block, of which two are compared at a time.
-BLOCK = 512
+#: Texts and shingles of a part of a bucket, of which two are compared at a time.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Texts that are compared with one bucket's smallest in a group.
+GROUP = 64
 _LOW = 0x1111111111111111
 
 
@@ -57,8 +61,8 @@ def shingle_hashes(word: np.ndarray, window: np.ndarray, first: int, last: int,
     return np.unique(window[first : last - k + 1])
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n_shingles, seq, bands, sig) for each row whose id is not null."""
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n_shingles, seq, bands, sig) for each row (id, text); seq is the SHA-256 of the text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _seeds()
@@ -72,10 +76,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                 word = tokens.word_hashes(data, begin, end, fold=True)
                 window = tokens.window_hashes(word, k)
                 size, seq, bands, sig = [], [], [], []
+                texts = column.slice(start, stop - start).to_pylist()
                 for i in range(stop - start):
                     own = shingle_hashes(word, window, first[i], first[i + 1], k)
                     size.append(len(own))
-                    seq.append(hashlib.md5(word[first[i] : first[i + 1]].tobytes()).digest())
+                    seq.append(hashlib.sha256(tokens.joined(texts[i], fold=True)).digest())
                     if not len(own):
                         bands.append(np.zeros(0, np.int64))
                         sig.append(np.zeros(0, np.int64))
@@ -91,8 +96,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame
                     names=["id", "n_shingles", "seq", "bands", "sig"],
                 )
 
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(source, run, "id long, n_shingles long, seq binary, bands array<long>, sig array<long>")
+    return map_arrow(docs, run, "id long, n_shingles long, seq binary, bands array<long>, sig array<long>")
 
 
 def estimate(one: Column, two: Column) -> Column:
@@ -114,53 +118,91 @@ def _shingles(text: str, k: int) -> set:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose full shingle sets are similar enough."""
+    """(a, b) of the distinct pairs whose full shingle sets are similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            hit = np.zeros(len(ids), bool)
-            for i, a in enumerate(ids):
-                if a != last:
-                    last, own = a, _shingles(batch.column(2)[i].as_py(), k)
-                other = _shingles(batch.column(3)[i].as_py(), k)
+    The pairs of one a are dealt to groups of about GROUP; a's text goes to each once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, texts = table.column("id").to_pylist(), table.column("text").to_pylist()
+        at = table.column("own").to_pylist().index(True)
+        own, found = _shingles(texts[at], k), []
+        for i, t in zip(ids, texts, strict=True):
+            if i != ids[at]:
+                other = _shingles(t, k)
                 both = len(own & other)
-                hit[i] = 100 * both >= percent * (len(own) + len(other) - both)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[:2]], names=["a", "b"])
+                if 100 * both >= percent * (len(own) + len(other) - both):
+                    found.append(i)
+        return pa.table({"a": pa.array([ids[at]] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
-    # Sorted by a, a run of pairs needs the shingles of a once.
-    rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return map_arrow(rows, run, "a long, b long")
+    ship(pairs.sparkSession)
+    texts = texts.dropDuplicates(["id"])
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    theirs = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("own"))
+    mine = theirs.select("a", "part", F.col("a").alias("id"), F.lit(True).alias("own")).distinct()
+    return theirs.union(mine).join(texts, "id").groupBy("a", "part").applyInArrow(run, "a long, b long")
 
 
-def _forest(ids: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between left and right members of a block,
-    over what their labels connect already."""
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, index, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count[index] > 1
-    column = np.cumsum(count > 1)[index[shared]] - 1
-    row, wide = owner[shared], int((count > 1).sum())
-    common = np.zeros((len(left), len(right)), np.float32)
-    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
-    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
-    step = max(1, 8_000_000 // max(1, len(sets)))
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
+def sets(texts: DataFrame, k: int) -> DataFrame:
+    """(id, set): the shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1).fill_null("")
+            for start, stop in slices(column):
+                data, offsets = utf8(column.slice(start, stop - start))
+                begin, end, first = tokens.words(data, offsets)
+                word = tokens.word_hashes(data, begin, end, fold=True)
+                window = tokens.window_hashes(word, k)
+                own = [shingle_hashes(word, window, first[i], first[i + 1], k).view(np.int64) for i in range(stop - start)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(own, pa.list_(pa.int64()))], names=["id", "set"])
+
+    return map_arrow(texts.dropDuplicates(["id"]), run, "id long, set array<long>")
+
+
+def _estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """estimate() of every left signature with every right one (rows of longs)."""
+    out = np.empty((len(left), len(right)), np.float32)
+    chance, low = 1 / 2**BITS, np.uint64(_LOW)
+    for i, one in enumerate(left):
+        x = right ^ one
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        differ = np.bitwise_count(x & low).sum(1, dtype=np.int64)
+        out[i] = (1 - differ / MINIMA - chance) / (1 - chance)
+    return out
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each left set shares with each right one."""
+    flat = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(flat, kind="stable")
+    column = np.cumsum(np.append(0, flat[order][1:] != flat[order][:-1]))
+    row, wide = owner[order], int(column[-1]) + 1 if len(flat) else 0
+    out = np.zeros((len(left), len(right)), np.float32)
+    step = max(1, 4_000_000 // max(1, len(left) + len(right)))
     for start in range(0, wide, step):
         a, b = np.searchsorted(column, [start, start + step])
-        side = []
-        for at, n in ((at_left, len(left)), (at_right, len(right))):
-            m = np.zeros((n, min(step, wide - start)), np.float32)
-            use = at[row[a:b]] >= 0
-            m[at[row[a:b][use]], column[a:b][use] - start] = 1
-            side.append(m)
-        common += side[0] @ side[1].T
+        m = np.zeros((len(left) + len(right), min(step, wide - start)), np.float32)
+        m[row[a:b], column[a:b] - start] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _forest(ids: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between left and right members of a block,
+    over what their labels connect already."""
     size = np.array([len(s) for s in sets], np.float64)
-    linked = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+    apart = label[left][:, None] != label[right][None, :]
+    n, m = size[left][:, None], size[right][None, :]
+    apart &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    apart &= _estimates(sig[left], sig[right]) >= percent / 100 - MARGIN
+    rows, cols = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
+    if not len(rows):
+        return []
+    left, right, apart = left[rows], right[cols], apart[np.ix_(rows, cols)]
+    common = _common([sets[i] for i in left], [sets[j] for j in right])
+    linked = apart & (100 * common >= percent * (size[left][:, None] + size[right][None, :] - common))
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -170,8 +212,7 @@ def _forest(ids: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndar
         return x
 
     found = []
-    apart = linked & (label[left][:, None] != label[right][None, :])
-    for i, j in zip(*np.nonzero(apart), strict=True):
+    for i, j in zip(*np.nonzero(linked), strict=True):
         x, y = int(label[left[i]]), int(label[right[j]])
         if top(x) != top(y):
             parent[top(x)] = top(y)
@@ -179,33 +220,34 @@ def _forest(ids: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndar
     return found
 
 
-def _blocks(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links that connect labels within the buckets (key, id, label, n).
+def _blocks(rows: DataFrame, k: int, percent: int, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): links that connect labels within the buckets (key, id, label).
 
-    A bucket of n members is cut into parts of about BLOCK; every two parts, and
-    every part with itself, meet in one group of the shuffle."""
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    cut = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("key", "id", "label", "part", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"))
+    Members of a bucket's most frequent label are linked already: only the others ask, and
+    every member is asked. Both are cut into parts of about BLOCK members and BLOCK_SHINGLES
+    shingles; two parts meet in one group of the shuffle."""
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = per.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).select("key", F.col("main.label").alias("main"), "n", (F.col("n") - F.col("main.n")).alias("few"))
+    shingles = rows.join(reps.select("id", F.col("n").alias("size")), "id").groupBy("key").agg(F.sum("size").alias("size"))
+    main = keep(main.join(shingles, "key"))
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col("size") * F.col(c) / F.col("n") / BLOCK_SHINGLES)).cast("int")
+    dealt = rows.join(main.select("key", "main", parts("few").alias("ask_parts"), parts("n").alias("give_parts")), "key")
+    of = lambda c: F.pmod(F.xxhash64("id"), F.col(c).cast("long")).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    ask = dealt.where("label <> main").select("key", "id", "label", of("ask_parts").alias("one"), upto("give_parts").alias("two"), F.lit(True).alias("asks"))
+    give = dealt.select("key", "id", "label", of("give_parts").alias("two"), upto("ask_parts").alias("one"), F.lit(False).alias("asks")).select(ask.columns)
 
     def run(table: pa.Table) -> pa.Table:
-        text = table.column("text").combine_chunks()
-        text = pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text
-        sets = []
-        for start, stop in slices(text):
-            data, offsets = utf8(text.slice(start, stop - start))
-            begin, end, first = tokens.words(data, offsets)
-            word = tokens.word_hashes(data, begin, end, fold=True)
-            window = tokens.window_hashes(word, k)
-            sets += [shingle_hashes(word, window, first[i], first[i + 1], k) for i in range(stop - start)]
-        part, one, two = (table.column(c).to_numpy() for c in ("part", "one", "two"))
+        asks = table.column("asks").to_numpy()
         ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
-        found = _forest(ids, label, np.flatnonzero(part == one), np.flatnonzero(part == two), sets, percent)
+        lists = lambda c: [x.values.to_numpy().view(np.uint64) for x in table.column(c)]
+        found = _forest(ids, label, np.flatnonzero(asks), np.flatnonzero(~asks), np.stack(lists("sig")), lists("set"), percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     ship(rows.sparkSession)
-    return met.join(texts, "id").groupBy("key", "one", "two").applyInArrow(run, "a long, b long")
+    # Hashes of shingles are made once, then sent to each group that needs them.
+    held = keep(sets(only_ids(texts, rows.select("id").distinct(), "id"), k).join(reps.select("id", "sig"), "id"), rows_at_once=256)
+    return ask.union(give).join(held, "id").groupBy("key", "one", "two").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -215,11 +257,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     100 * common >= percent * all of either. component_id is the smallest id
     reachable by links, kept marks that document.
 
-    Rows without id have no identity and go. Null texts and texts without words
-    have no shingles and link with nothing, each other included. Repeated rows get
-    equal results; an empty table gives an empty one; other columns are ignored.
+    Ids are integers. Rows without id have no identity and go. Null texts and texts without
+    words have no shingles and link with nothing, each other included. Repeated rows get
+    equal results; rows that share an id but not the text are documents of their own. An
+    empty table gives an empty one; other columns are ignored. Texts may have any length.
     """
-    sig = keep(signatures(docs, id_col, text_col, k))
+    spark = docs.sparkSession
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with workspace(spark):
+        sig = keep(signatures(docs, k))
+        one = F.xxhash64("seq")
+        if sig.groupBy("id").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").isEmpty():
+            found = _near_duplicates(docs, sig, k, percent)
+        else:
+            drop(sig)
+            known = numbered(docs)
+            names = known.select(F.col("_row").alias("id"), F.col("id").alias("named"), F.sha2("text", 256).alias("sha"))
+            rows = known.select(F.col("_row").alias("id"), "text")
+            found = keep(_near_duplicates(rows, keep(signatures(rows, k)), k, percent))
+            found = found.join(names, "id").join(names.select(F.col("id").alias("component"), F.col("named").alias("up")), "component")
+            found = found.select(F.col("named").alias("id"), "sha", "n_shingles", F.col("up").alias("component"))
+            found = docs.select("id", F.sha2("text", 256).alias("sha")).alias("d").join(found.alias("f"), (F.col("d.id") == F.col("f.id")) & F.col("d.sha").eqNullSafe(F.col("f.sha")))
+            found = found.select("d.id", "n_shingles", "component")
+        return settled(found.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")))
+
+
+def numbered(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """The distinct rows by (id, text) with the column _row: numbers in that order."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges ascend, and so do the rows in them.
+    ordered = docs.dropDuplicates([id_col, text_col]).repartitionByRange(n, id_col, text_col).sortWithinPartitions(id_col, text_col)
+    return keep(ordered.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _near_duplicates(source: DataFrame, sig: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, n_shingles, component) of rows (id, text) of which each id has one text."""
     # Written first: a join with a plain table is one whose large partitions Spark can split.
     classes = keep(sig.where("n_shingles > 0").groupBy("seq").agg(F.min("id").alias("rep")))
     reps = keep(sig.where("n_shingles > 0").groupBy("seq").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
@@ -234,7 +306,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     pairs = keep(pairs.where(estimate(F.col("sig_a"), F.col("sig_b")) >= percent / 100 - MARGIN).select("a", "b"))
 
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     links = keep(verified(pairs, only_ids(source, named, "id"), k, percent), rows_at_once=256)
     labels = components(links)
@@ -244,8 +315,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("id")).alias("one"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("two"))
     # Bands whose buckets hold the same members (equal in 128 bits of hash) are compared once.
     apart = apart.where("low <> high").groupBy("one", "two", "n").agg(F.min("key").alias("key"))
-    left = keep(marked.join(apart.select("key", "n"), "key"))
-    more = keep(_blocks(left, only_ids(source, left.select("id").distinct(), "id"), k, percent))
+    left = keep(marked.join(apart.select("key"), "key"))
+    more = keep(_blocks(left, k, percent, source, reps))
+    named = more.select(F.col("a").alias("id")).union(more.select(F.col("b").alias("id"))).distinct()
+    more = keep(verified(more.distinct(), only_ids(source, named, "id"), k, percent), rows_at_once=256)
     # The second time, labels stand for the components so far.
     over = more.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     top = components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
@@ -253,5 +326,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = labels.join(top.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
     final = keep(final.union(top.join(labels, "id", "left_anti")))
     named = sig.select("id", "n_shingles", "seq").join(classes, "seq", "left").join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    of = F.coalesce("component", "rep", "id")
-    return named.select(F.col("id").alias(id_col), "n_shingles", of.alias("component_id"), (F.col("id") == of).alias("kept"))
+    return named.select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("component"))

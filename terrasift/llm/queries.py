@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, licenses, neardup, secrets, sharding, substrings, toxicity, vectors
-from .common import table
+from .common import keep, settled, table, workspace
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +113,16 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.Repeats(table(spark, sf_dir, "documents"))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    texts = found.kept_texts().select("id", "n_removed", sha(F.col("kept")).alias("sha")).distinct()
-    touched = texts.union(found.copies.select("id", F.lit(None).cast("long").alias("n_removed"), sha(F.lit("")).alias("sha")))
-    rows = found.whole.join(touched, "id", "left")
-    removed = F.when(F.col("sha").isNull(), 0).otherwise(F.coalesce("n_removed", "n_words"))
-    return rows.select(F.col("id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    with workspace(spark):
+        found = substrings.Repeats(table(spark, sf_dir, "documents"))
+        texts = found.removed.select("id", F.col("whole").alias("of"), "n_removed", sha(F.col("kept")).alias("sha")).distinct()
+        gone = found.copies.select("id", F.col("whole").alias("of"), F.lit(None).cast("long").alias("n_removed"), sha(F.lit("")).alias("sha"))
+        # of: the text of an id that is meant, null where it has one only.
+        touched = keep(texts.union(gone)).alias("t")
+        rows = found.whole.alias("w").join(touched, (F.col("w.id") == F.col("t.id")) & (F.col("t.of").isNull() | (F.col("t.of") == F.col("w.whole"))), "left")
+        removed = F.when(F.col("sha").isNull(), 0).otherwise(F.coalesce("n_removed", "n_words"))
+        return settled(rows.select(F.col("w.id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Words of UTF-8 texts and their hashes, a whole batch at a time in numpy.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes are polynomials
-modulo 2**64 over random byte values, taken as differences of one running sum;
-a finaliser spreads them. They are the same in every process.
+A word is a run of bytes other than 0x20 and 0x09-0x0D. Its hash is the sum of one
+pseudo-random value for each byte at its place, taken as a difference of one running
+sum; a polynomial over places would give equal hashes to some texts of any base. Hashes
+of runs are polynomials over those of their few words. A finaliser spreads
+both. They are the same in every process.
 """
 
 from __future__ import annotations
@@ -68,15 +70,28 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) ->
     return start, end, np.searchsorted(start, offsets)
 
 
+def _running(data: np.ndarray, start: np.ndarray, fold: bool) -> np.ndarray:
+    """Running sums over the values of bytes at their place in their word."""
+    place = np.arange(len(data), dtype=np.uint64)
+    place[start[0] :] -= np.repeat(start, np.diff(start, append=len(data))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        place *= U(_BYTE_BASE)
+        place += _values(fold)[data]
+        place ^= place >> U(32)
+        place *= U(0xFF51AFD7ED558CCD)
+        place ^= place >> U(29)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(place, out=total[1:])
+    return total
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
     """One 64-bit hash per word; with fold, A-Z count as a-z."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    up, down = _powers(_BYTE_BASE, len(data))
+    total = _running(data, start, fold)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_values(fold)[data] * up[: len(data)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        return mix(total[end] - total[start] + (end - start).astype(np.uint64))
 
 
 def prefix_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: tuple[int, ...], fold: bool = False) -> np.ndarray:
@@ -84,19 +99,23 @@ def prefix_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sizes: t
     (0 where it is no longer than that)."""
     if not len(start):
         return np.zeros((0, len(sizes) + 1), np.uint64)
-    up, down = _powers(_BYTE_BASE, len(data))
     out = np.zeros((len(start), len(sizes) + 1), np.uint64)
+    total = _running(data, start, fold)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_values(fold)[data] * up[: len(data)], out=total[1:])
-        out[:, 0] = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        out[:, 0] = mix(total[end] - total[start] + (end - start).astype(np.uint64))
         for i, n in enumerate(sizes, 1):
             long = np.flatnonzero(end - start > n)
             at = start[long]
-            out[long, i] = mix((total[at + n] - total[at]) * down[at] + U(n + 1000003))
+            out[long, i] = mix(total[at + n] - total[at] + U(n + 1000003))
     return out
 
 
+def joined(text: str | None, fold: bool = False) -> bytes:
+    """The words of a text joined by one space; with fold, A-Z as a-z."""
+    data = (text or "").encode()
+    return b" ".join((data.lower() if fold else data).split())
+
+
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive word hashes; the caller drops runs that cross documents."""
     n = len(hashes) - k + 1

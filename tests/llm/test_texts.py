@@ -5,7 +5,8 @@ import hashlib
 import numpy as np
 import pytest
 
-from terrasift.llm import bpe, components, decontam, neardup, queries, substrings
+from terrasift.llm import bpe, components, decontam, neardup, queries, substrings, tokens
+from terrasift.llm.common import workspace
 
 from .fixtures import documents, prose, sample, texts
 
@@ -60,7 +61,7 @@ def test_near_duplicates_of_a_family_in_blocks(spark, monkeypatch):
 def test_similarity_estimate_is_near(spark):
     base = prose(5, 400).split()
     rows = [(1, " ".join(base)), (2, " ".join(base[:360] + prose(6, 40).split()))]
-    sig = {r.id: r.sig for r in neardup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3).collect()}
+    sig = {r.id: r.sig for r in neardup.signatures(spark.createDataFrame(rows, "id long, text string"), 3).collect()}
     pair = spark.createDataFrame([(sig[1], sig[2])], "a array<long>, b array<long>")
     true = len(shingles(rows[0][1], 3) & shingles(rows[1][1], 3)) / len(shingles(rows[0][1], 3) | shingles(rows[1][1], 3))
     assert abs(pair.select(neardup.estimate(pair.a, pair.b)).first()[0] - true) < 0.15
@@ -73,34 +74,113 @@ def test_components(spark):
 
 
 def repeats(rows, n=20):
-    seen, out = set(), {}
-    for d, t in sorted(rows, key=lambda r: r[0]):
-        w = (t or "").encode().split()
-        gone = set()
+    """One result per distinct row (id, text); rows of one id do not come before each other."""
+    seen, out = {}, {}
+    split = [(d, t, (t or "").encode().split()) for d, t in dict.fromkeys(rows)]
+    for d, _, w in split:
         for p in range(len(w) - n + 1):
             x = tuple(w[p : p + n])
-            if x in seen:
+            seen[x] = min(seen.get(x, d), d)
+    for d, t, w in split:
+        gone, own = set(), set()
+        for p in range(len(w) - n + 1):
+            x = tuple(w[p : p + n])
+            if x in own or seen[x] < d:
                 gone.update(range(p, p + n))
-            seen.add(x)
+            own.add(x)
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
-        out[d] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+        out[d, t] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
     return out
 
 
-def test_repeated_passages_match_brute_force(spark, tmp_path):
+def removed(spark, rows, folder):
+    documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    return queries.op8_substring_dedup(spark, str(folder)).collect()
+
+
+def test_repeated_passages_match_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substrings, "STRETCH", 64)
     rows = texts() + [(1000 + i, t) for i, t in sample(200)]
-    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    found = queries.op8_substring_dedup(spark, str(tmp_path)).collect()
+    found = removed(spark, rows, tmp_path)
     assert len(found) == len(rows) + 2
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == repeats(rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == {d: v for (d, _), v in repeats(rows).items()}
+
 
+def thue_morse(n):
+    """Two words that no polynomial modulo 2**64 of an odd base tells apart."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
 
-def test_paths_are_the_repeated_passages(spark):
+
+def test_words_with_equal_hashes_are_told_apart(spark, tmp_path):
+    """Each window of the second half repeats one of equal hash, but not one of equal words."""
+    one, two = thue_morse(2048)
+    tail = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"{one} {tail}"), (2, f"zz {two} {tail}"), (3, f"y {two} {tail}"), (4, one), (5, two)]
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in removed(spark, rows, tmp_path) if r.doc_id < 10}
+    assert found == {d: v for (d, _), v in repeats(rows).items()}
+    assert found[2][1] == 30 and found[3][1] == 31
+    classes = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, rows), k=3, percent=85).collect()}
+    assert classes[4] != classes[5] and {d: c for d, c in classes.items()} == {d: c for d, (_, c) in groups(rows, 3, 85).items()}
+
+
+def test_colliding_windows_are_grouped_by_their_words(spark, tmp_path):
+    """What hashes take for equal is compared at both coordinates, then grouped by the words themselves."""
+    line = prose(3, 25)
+    rows = [(1, f"a0 {line}"), (2, f"a1 {line}"), (3, f"b a1 {line}"), (4, f"c a0 {line} a0 {line}")]
+    docs = documents(spark, rows).where("doc_id < 10")
+    with workspace(spark):
+        found = substrings.Repeats(docs)
+        occurrences = [(d, p) for d, t in rows for p in range(len(t.split()) - 19)]
+        # As if the windows that start with a0 and a1 had one hash: all but the first are wrong.
+        starts = [(d, p) for d, p in occurrences if dict(rows)[d].split()[p] in ("a0", "a1")]
+        edges = spark.createDataFrame([(7, d, 0, p) for d, p in starts], "h long, id long, part long, at int")
+        bad = spark.createDataFrame([(d, 0, p, 20) for d, p in starts[1:]], "id long, part long, at int, n int")
+        got = {(r.id, r.at) for r in found._regrouped(bad, edges).collect()}
+    assert got == {(3, 1), (4, 1), (4, 27)}
+
+
+def test_a_false_occurrence_removes_nothing(spark, tmp_path, monkeypatch):
+    """A stretch that only hashes could take for repeated fails the comparison of words."""
+    rows = [(1, prose(4, 60)), (2, prose(5, 30) + " " + " ".join(prose(4, 60).split()[:30])), (3, prose(6, 50))]
+    true = substrings.Repeats._occurrences
+
+    def lying(self, found):
+        false = spark.createDataFrame([(2, 0, 20, 30, 1, 0, 3), (3, 0, 5, 25, 1, 0, 5)], "id long, part long, at int, n int, source long, source_part long, source_at int")
+        return substrings.keep(true(self, found).union(false))
+
+    monkeypatch.setattr(substrings.Repeats, "_occurrences", lying)
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in removed(spark, rows, tmp_path)}
+    want = {d: v for (d, _), v in repeats(rows).items()}
+    assert found == {d: want[d] for d in (1, 2)} | {3: want[3]} and found[2][1] == 30
+
+
+def test_rows_that_share_an_id_lose_their_own_words(spark, tmp_path):
+    q = " ".join(f"q{i}" for i in range(40))
+    rows = [(4, q), (5, q), (5, f"x {q}"), (6, f"{q} y"), (6, f"z {prose(5, 30)} {q}"), (7, prose(5, 30)), (8, None), (8, ""), (8, prose(5, 30)), (9, prose(6, 30)), (9, f"{prose(6, 30)} more")]
+    found = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in removed(spark, rows, tmp_path)]
+    want = sorted((d, *v) for (d, _), v in repeats(rows).items())
+    assert sorted(found) == want and (5, 41, 40, hashlib.sha256(b"x").hexdigest()) in found
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, a), (2, b), (2, f"{a} more"), (2, c), (3, c), (3, b), (3, b), (4, None), (4, "x")]
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85).collect())
+    want = [(1, 38, 1, True), (2, 38, 2, True), (2, 39, 1, False), (2, 38, 2, True), (3, 38, 2, False), (3, 38, 2, False), (3, 38, 2, False), (4, 0, 4, True), (4, 1, 4, True)]
+    assert found == sorted(want)
+
+
+def test_paths_are_the_repeated_passages(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "STRETCH", 4)
     line = prose(3, 25)
-    rows = [(1, prose(4, 40) + " " + line + " " + prose(5, 40)), (2, prose(6, 30) + " " + line + " " + prose(7, 30))]
-    found = substrings.Repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert [tuple(r) for r in found.paths.select("source", "start", "words", "n").collect()] == [(1, 40, 25, 2)]
-    assert [(r.id, list(r.starts)) for r in found.later.collect()] == [(2, list(range(30, 36)))]
+    rows = [(1, prose(4, 40) + " " + line + " " + prose(5, 40)), (2, prose(6, 30) + " " + line + " " + prose(7, 30)), (3, prose(8, 200)), (4, prose(8, 200) + " x")]
+    with workspace(spark):
+        found = substrings.Repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(tuple(r) for r in found.paths.select("source", "start", "words", "n").collect()) == [(1, 40, 25, 2), (3, 0, 200, 2)]
+        assert {r.id: [(s.at, s.n) for s in r.spans] for r in found.removed.collect()} == {2: [(30, 25)], 4: [(0, 200)]}
 
 
 def test_bpe_matches_the_library(spark):
@@ -180,8 +260,9 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, most_bytes):
 def test_empty_tables(spark):
     empty = documents(spark, [])
     assert neardup.near_duplicates(empty).collect() == []
-    found = substrings.Repeats(empty)
-    assert found.whole.collect() == [] and found.kept_texts().collect() == [] and found.paths.collect() == []
+    with workspace(spark):
+        found = substrings.Repeats(empty)
+        assert found.whole.collect() == [] and found.removed.collect() == [] and found.paths.collect() == []
     assert bpe.encode_decode(empty).collect() == []
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(empty, items).collect() == [] == decontam.contaminated(documents(spark), items).collect()
@@ -190,4 +271,5 @@ def test_empty_tables(spark):
 def test_rows_without_id_go(spark):
     rows = spark.createDataFrame([(None, prose(1, 30)), (1, prose(1, 30))], "doc_id long, text string")
     assert [(r.doc_id, r.kept) for r in neardup.near_duplicates(rows).collect()] == [(1, True)]
-    assert [r.id for r in substrings.Repeats(rows).whole.collect()] == [1]
+    with workspace(spark):
+        assert [r.id for r in substrings.Repeats(rows).whole.collect()] == [1]
