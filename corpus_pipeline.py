@@ -28,10 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if again.isEmpty():
         found = neardup.near_duplicates(docs, k=5, percent=80)
         return without_ids(docs, found.where("not kept").select("doc_id").distinct(), "doc_id").select(docs.columns)
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    # Numbers of the rows in the order of (doc_id, text): ranges ascend, and rows in them.
-    known = known.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    known = keep(known.withColumn("_row", F.monotonically_increasing_id()))
+    known = neardup.numbered(docs.where("doc_id is not null"), "doc_id")
     found = neardup.near_duplicates(known, id_col="_row", k=5, percent=80)
     rest = without_ids(known, found.where("not kept").select("_row"), "_row")
     return rest.select(docs.columns).union(docs.where("doc_id is null"))
