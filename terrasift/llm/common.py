@@ -104,14 +104,14 @@ def drop(*tables: DataFrame) -> None:
 MOST_IDS = 2_000_000
 
 
-def only_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+def only_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """The rows of df whose id is one of ids (distinct): a filter without a shuffle
     of df while the ids are few, a shuffled semi-join beyond MOST_IDS."""
     ids = keep(ids)
     return df.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, on, how)
 
 
-def without_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+def without_ids(df: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     """The rows of df whose id is null or none of ids, in the same way."""
     return only_ids(df, ids, on, "left_anti")
 

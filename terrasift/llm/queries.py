@@ -119,7 +119,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         texts = found.removed.select("id", F.col("whole").alias("of"), "n_removed", sha(F.col("kept")).alias("sha")).distinct()
         gone = found.copies.select("id", F.col("whole").alias("of"), F.lit(None).cast("long").alias("n_removed"), sha(F.lit("")).alias("sha"))
         # of: the text of an id that is meant, null where it has one only.
-        touched = keep(texts.union(gone)).alias("t")
+        touched = keep(texts.union(gone.distinct())).alias("t")
         rows = found.whole.alias("w").join(touched, (F.col("w.id") == F.col("t.id")) & (F.col("t.of").isNull() | (F.col("t.of") == F.col("w.whole"))), "left")
         removed = F.when(F.col("sha").isNull(), 0).otherwise(F.coalesce("n_removed", "n_words"))
         return settled(rows.select(F.col("w.id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256")))

@@ -116,17 +116,19 @@ def compacted(repeated: DataFrame) -> DataFrame:
     edge in and one out. Starts are handed on within stretches of STRETCH places, then
     from stretch to stretch in joins, each of which doubles the way."""
     tail, head = F.shiftrightunsigned("nodes", 32), F.col("nodes").bitwiseAND(F.lit(0xFFFFFFFF))
-    out = repeated.groupBy(tail.alias("node")).agg(F.count("*").alias("out"))
-    into = repeated.groupBy(head.alias("node")).agg(F.count("*").alias("into"))
-    simple = out.where("out = 1").join(into.where("into = 1"), "node").select("node", F.lit(True).alias("simple"))
-    place = ["source", "part", "at"]
-    linked = repeated.withColumn("node", tail).join(simple, "node", "left")
-    before = repeated.select("source", "part", (F.col("at") + 1).alias("at"), head.alias("last"))
-    linked = linked.join(before, place, "left").withColumn("goes_on", F.coalesce(F.col("simple") & (F.col("last") == F.col("node")), F.lit(False)))
-    linked = linked.withColumn("stretch", F.floor(F.col("at") / STRETCH).cast("int"))
-    w = Window.partitionBy("source", "part", "stretch").orderBy("at")
-    first = F.max(F.when(~F.col("goes_on"), F.col("at"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    near = keep(linked.withColumn("path", first).select("h", *place, "n", "stretch", "path"))
+    place = F.struct("source", "part", "at")
+    into = repeated.groupBy(head.alias("node")).agg(F.count("*").alias("n"), F.min(place).alias("a")).where("n = 1").select("node", "a")
+    out = repeated.groupBy(tail.alias("node")).agg(F.count("*").alias("n"), F.min(place).alias("b")).where("n = 1").select("node", "b")
+    here = F.struct(F.col("a.source"), F.col("a.part"), F.col("a.at") + 1)
+    links = into.join(out, "node").where(here == F.col("b")).select("b.*", F.lit(True).alias("link"))
+    # A link comes before the edge at its place.
+    rows = links.select("source", "part", "at", "link", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("n"))
+    rows = rows.union(repeated.select("source", "part", "at", F.lit(False), "h", "n")).withColumn("stretch", F.floor(F.col("at") / STRETCH).cast("int"))
+    w = Window.partitionBy("source", "part", "stretch").orderBy("at", F.desc("link"))
+    goes_on = F.coalesce(F.lag("link").over(w) & (F.lag("at").over(w) == F.col("at")), F.lit(False))
+    first = F.max(F.when(~F.col("link") & ~F.col("goes_on"), F.col("at"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    near = rows.withColumn("goes_on", goes_on).withColumn("path", first).where(~F.col("link"))
+    near = keep(near.select("h", "source", "part", "at", "n", "stretch", "path"))
     # The path at the end of each stretch; null: that of the stretch before.
     ends = near.where(F.col("at") == (F.col("stretch") + 1) * STRETCH - 1).select("source", "part", "stretch", "path", (F.col("stretch") - 1).alias("hop"))
     while True:
@@ -136,7 +138,7 @@ def compacted(repeated: DataFrame) -> DataFrame:
         far = ends.select("source", "part", F.col("stretch").alias("hop"), F.col("path").alias("far"), F.col("hop").alias("next"))
         ends = ends.join(far, ["source", "part", "hop"], "left").select("source", "part", "stretch", F.coalesce("path", "far").alias("path"), F.coalesce("next", "hop").alias("hop"))
     ends = ends.select("source", "part", (F.col("stretch") + 1).alias("stretch"), F.col("path").alias("far"))
-    return near.join(ends, ["source", "part", "stretch"], "left").select("h", *place, "n", F.coalesce("path", "far").alias("path"))
+    return near.join(ends, ["source", "part", "stretch"], "left").select("h", "source", "part", "at", "n", F.coalesce("path", "far").alias("path"))
 
 
 def _runs(starts: Column) -> Column:
@@ -151,7 +153,7 @@ _SPAN = "array<struct<at:int,n:int>>"
 
 
 def digests(asked: DataFrame) -> DataFrame:
-    """(id, part, at, n, sha): SHA-256 of the n words from at, for (id, part, whole, text,
+    """(id, part, at, n, sha): the SHA-256 of the n words from at, for (id, part, whole, text,
     spans) with spans an array of (at, n); texts are told apart as in edges()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +163,11 @@ def digests(asked: DataFrame) -> DataFrame:
                 if w is None or not len(spans):
                     continue
                 at, n = spans.field("at").to_numpy(), spans.field("n").to_numpy()
-                sha = [hashlib.sha256(b" ".join(w[a : a + b])).hexdigest() for a, b in zip(at.tolist(), n.tolist(), strict=True)]
+                sha = [hashlib.sha256(b" ".join(w[a : a + b])).digest() for a, b in zip(at.tolist(), n.tolist(), strict=True)]
                 ids = (pa.array([batch.column(c)[i].as_py()] * len(sha), pa.int64()) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(sha)], names=["id", "part", "at", "n", "sha"])
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(sha, pa.binary())], names=["id", "part", "at", "n", "sha"])
 
-    return map_arrow(asked.select("id", "part", "whole", "text", "spans"), run, "id long, part long, at int, n int, sha string")
+    return map_arrow(asked.select("id", "part", "whole", "text", "spans"), run, "id long, part long, at int, n int, sha binary")
 
 
 def without(asked: DataFrame) -> DataFrame:
@@ -185,7 +187,7 @@ def without(asked: DataFrame) -> DataFrame:
                 change = np.zeros(len(w) + 1, np.int64)
                 for s in asked.to_pylist():
                     a, b = s["at"], s["at"] + s["n"]
-                    if s["sha"] is None or s["sha"] == hashlib.sha256(b" ".join(w[a:b])).hexdigest():
+                    if s["sha"] is None or s["sha"] == hashlib.sha256(b" ".join(w[a:b])).digest():
                         same.append({"at": a, "n": s["n"]})
                         change[a] += 1
                         change[b] -= 1
@@ -212,7 +214,7 @@ class Repeats:
 
     whole: (id, n_words, whole) of every row with an id; a null text has no words. whole is
     the SHA-256 of the words, which tells rows of one id apart.
-    copies: (id, whole) whose word sequence a smaller id has (of at least `window` words).
+    copies: (id, whole, part) whose word sequence a smaller id has (of at least `window` words).
     paths: (source, part, start, words, n): compacted repeated passages at their first occurrence.
     removed: (id, part, whole, spans, n_removed, kept) of the documents that lose words but are
     no copies: spans are the stretches that occur earlier, as an array of (at, n) in words,
@@ -239,23 +241,25 @@ class Repeats:
     def _edges(self, seed: int) -> DataFrame:
         """The edges that can repeat, kept; sets whole, copies and parts."""
         kept = keep(seeds(self.texts, self.window, seed))
-        self.whole = keep(kept.select("id", "n_words", "whole"))
-        first = keep(self.whole.where(F.col("n_words") >= self.window).groupBy("whole").agg(F.min("id").alias("first")))
-        self.copies = keep(self.whole.join(first, "whole").where("id <> first").select("id", "whole").distinct())
         # Ids with several texts: (id, whole, part), part a number of the text.
-        again = keep(self.whole.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
-        rows = only_ids(self.whole, again, "id").select("id", "whole").distinct()
+        again = keep(kept.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+        rows = only_ids(kept, again, "id").select("id", "whole").distinct()
         several = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
         self.parts = keep(rows.join(several, "id").select("id", "whole", F.conv(F.substring("whole", 1, 15), 16, 10).cast("long").alias("part")))
         if not again.isEmpty():
             self.texts = without_ids(self.texts, again, "id").union(only_ids(self.texts, again, "id").dropDuplicates(["id", "text"]))
+        part = F.coalesce("part", F.lit(0)).alias("part")
+        named = kept.join(self.parts, ["id", "whole"], "left")
+        self.whole = keep(named.select("id", "n_words", "whole", part))
+        first = keep(self.whole.where(F.col("n_words") >= self.window).groupBy("whole").agg(F.min("id").alias("first")))
+        self.copies = keep(self.whole.join(first, "whole").where("id <> first").select("id", "whole", "part"))
         # What a copy repeats, its original has as well.
-        left = kept.where(F.size("seeds") > 0).select("id", "whole", "seeds").join(self.copies, ["id", "whole"], "left_anti")
-        each = left.select("id", "whole", F.explode("seeds").alias("s"))
+        left = without_ids(named.where(F.size("seeds") > 0).select("id", part, "seeds"), self.copies.select("id", "part"), ["id", "part"])
+        each = left.select("id", "part", F.explode("seeds").alias("s"))
         # Written first: a join with a plain table is one whose large partitions Spark can split.
         often = keep(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s"))
-        own = each.join(often, "s").groupBy("id", "whole").agg(F.collect_set("s").alias("seeds"))
-        own = own.join(self.parts, ["id", "whole"], "left").select("id", "seeds", F.coalesce("part", F.lit(0)).alias("part"), F.when(F.col("part").isNotNull(), F.col("whole")).alias("whole"))
+        own = each.join(often, "s").groupBy("id", "part").agg(F.collect_set("s").alias("seeds"))
+        own = own.join(self.parts, ["id", "part"], "left").select("id", "part", "whole", "seeds")
         own = keep(own)
         drop(kept, often)
         wanted = only_ids(self.texts, own.select("id").distinct(), "id").join(own, "id")
@@ -295,7 +299,7 @@ class Repeats:
         each = lambda df, c: df.select("id", "part", F.explode(c).alias("s")).select("id", "part", "s.at", "s.n")
         exact = keep(self._regrouped(each(bad, "wrong"), found))
         others = keep(bad.select("id", "part").union(exact.select("id", "part")).distinct())
-        good = each(once.join(others, ["id", "part"], "left_semi"), "spans").union(exact).withColumn("sha", F.lit(None).cast("string"))
+        good = each(once.join(others, ["id", "part"], "left_semi"), "spans").union(exact).withColumn("sha", F.lit(None).cast("binary"))
         anew = without(self._asked(good, "at", "n", "sha"))
         return keep(once.join(others, ["id", "part"], "left_anti").union(anew).drop("wrong"), rows_at_once=256)
 
