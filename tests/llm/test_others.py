@@ -195,24 +195,30 @@ def test_toxicity_cases(spark):
     assert toxicity.score(documents(spark, []), model).collect() == []
 
 
-def brute_vectors(rows, cosine=0.95, dim=8):
-    good = {i: np.array(v, float) for i, v in rows if v is not None and len(v) == dim and all(x is not None and np.isfinite(x) for x in v) and any(v)}
-    links, parent = {i: 0 for i, _ in rows}, {i: i for i, _ in rows}
+def brute_vectors(rows, cosine=0.95):
+    """{row: (n_links, component)} of the distinct rows (id, vector)."""
+    rows = list({(i, None if v is None else tuple(v)) for i, v in rows})
+    good = {r: np.array(r[1], float) for r in rows if r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])}
+    links, parent = {r: 0 for r in rows}, {r: r for r in rows}
 
     def top(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(good)
+    ids = list(good)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= cosine:
+            if len(a[1]) == len(b[1]) and good[a] @ good[b] / np.linalg.norm(good[a]) / np.linalg.norm(good[b]) >= cosine:
                 links[a] += 1
                 links[b] += 1
                 x, y = top(a), top(b)
-                parent[max(x, y)] = min(x, y)
-    return {i: (links[i], top(i)) for i in links}
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+    least = {}
+    for r in rows:
+        least[top(r)] = min(least.get(top(r), r[0]), r[0])
+    return {r: (links[r], least[top(r)]) for r in rows}
 
 
 @pytest.mark.parametrize("part", [1024, 16])
@@ -227,6 +233,7 @@ def test_vectors_match_all_pairs(spark, monkeypatch, part):
     found = vectors.near_duplicates(df).collect()
     assert len(found) == len(rows) + 1
     want = brute_vectors([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows])
+    want = {i: v for (i, _), v in want.items()}
     got = {x.vec_id: (x.n_links, x.component_id) for x in found}
     total = sum(v[0] for v in want.values())
     assert all(got[i][0] <= want[i][0] for i in want)
@@ -264,3 +271,23 @@ def test_vectors_link_across_lists(spark, monkeypatch):
     rows += [(100 + k, [math.cos(a), math.sin(a) * (-1) ** k] + [0.0] * 62) for k in (0, 1)]
     found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert found[100] == (1, 100, True) and found[101] == (1, 100, False)
+
+
+def test_vectors_of_64_dimensions_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST_SIZE", 50)
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(300, 64))
+    rows = [(i, (centres[i % 300] + r.uniform(0.1, 0.3) * r.normal(size=64)).tolist()) for i in range(1500)]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = {i: v for (i, _), v in brute_vectors(rows).items()}
+    assert vectors.lists_of(1500) > 5 and sum(v[0] for v in want.values()) > 500
+    assert {x.vec_id: (x.n_links, x.component_id) for x in found} == want
+
+
+def test_vectors_of_every_length_and_of_shared_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0]), (4, None), (4, [0.0, 1.0]), (5, [1.0, 1.0, 0.0]), (6, [1.0, 1.01, 0.0]), (7, [2.0]), (8, [3.0]), (9, [-1.0]), (0, [5.0, 0.0])]
+    found = [(x.vec_id, x.n_links, x.component_id, x.kept) for x in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    want = brute_vectors(rows)
+    want = [(i, *want[i, None if v is None else tuple(v)]) for i, v in rows]
+    assert sorted(found) == sorted((i, n, c, i == c) for i, n, c in want)
+    assert (7, 1, 7, True) in found and (8, 1, 7, False) in found and (1, 2, 1, True) in found and (1, 2, 0, False) in found
