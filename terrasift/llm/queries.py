@@ -112,6 +112,25 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+_SPLIT = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP7_SQL = f"""
+WITH RECURSIVE split AS (SELECT doc_id, {_SPLIT.format(_LOWERED)} AS words FROM documents WHERE doc_id IS NOT NULL),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END AS held
+  FROM split),
+sizes AS (SELECT doc_id, len(held) AS n FROM sets),
+shingles AS (SELECT doc_id, unnest(held) AS s FROM sets),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT a, b FROM met JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * met.n >= 85 * (x.n + y.n - met.n)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+tops AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN tops USING (doc_id)
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     with workspace(spark):
@@ -125,6 +144,21 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return settled(rows.select(F.col("w.id").alias("doc_id"), "n_words", removed.alias("n_removed"), F.coalesce("sha", "whole").alias("kept_sha256")))
 
 
+OP8_SQL = f"""
+WITH split AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS words FROM documents WHERE doc_id IS NOT NULL),
+windows AS (
+  SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(words) - {substrings.WINDOW} + 2)),
+         lambda i: struct_pack(p := i, s := sha256(array_to_string(words[i:i + {substrings.WINDOW - 1}], ' '))))) AS w FROM split),
+numbered AS (SELECT doc_id, w.p AS p, row_number() OVER (PARTITION BY w.s ORDER BY doc_id, w.p) AS n FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + {substrings.WINDOW})) AS p FROM numbered WHERE n > 1),
+each AS (SELECT doc_id, unnest(list_transform(range(1, len(words) + 1), lambda i: struct_pack(p := i, word := words[i]))) AS w FROM split),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w.word, ' ' ORDER BY w.p) AS text
+         FROM each ANTI JOIN gone ON gone.doc_id = each.doc_id AND gone.p = each.w.p GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -135,6 +169,19 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL),
+good AS (SELECT DISTINCT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+          AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.95 ELSE false END),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+tops AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN tops USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
@@ -147,4 +194,11 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-ORACLES = {"op3_license_scans": OP3_SQL, "op2_sharding": OP2_SQL, "op4_chat_formatting": OP4_SQL}
+ORACLES = {
+    "op2_sharding": OP2_SQL,
+    "op3_license_scans": OP3_SQL,
+    "op4_chat_formatting": OP4_SQL,
+    "op7_minhash_near_dedup": OP7_SQL,
+    "op8_substring_dedup": OP8_SQL,
+    "op10_embedding_near_dedup": OP10_SQL,
+}
