@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -21,21 +22,30 @@ def brute_spans(text):
     patterns = [re.compile(p.replace("(?i:password", "(?ai:password")) for _, p, _, _ in secrets.PATTERNS]
     for rank, ((kind, _, group, least), p) in enumerate(zip(secrets.PATTERNS, patterns, strict=True)):
         out += [(m.start(), rank, kind, m.end()) for m in p.finditer(text) if len(m.group(group)) >= least]
-    base = list(out)
+    rest = text
+    for start, _, _, end in out:
+        rest = rest[:start] + " " * (end - start) + rest[end:]
+    rest = re.sub("|".join(f"(?:{p})" for p in secrets.ALLOW), lambda m: " " * len(m.group()), rest)
     for i, c in enumerate(secrets.CLASSES):
-        for m in re.finditer(c.pattern, text):
+        for m in re.finditer(c.pattern, rest):
             h, w = m.group(), c.window
-            if not all(re.search(x, h) for x in c.needs) or any(re.search(x, h) for x in secrets.ALLOW) or any(b[0] < m.end() and b[3] > m.start() for b in base):
+            if not all(re.search(x, h) for x in c.needs):
                 continue
             entropy = [-sum(v / w * math.log2(v / w) for v in Counter(h[j : j + w]).values()) for j in range(len(h) - w + 1)]
-            hot = [j for j, e in enumerate(entropy) if e >= c.bits - 1e-10]
-            if hot:
-                out.append((m.start() + hot[0], len(secrets.PATTERNS) + i, c.kind, m.start() + hot[-1] + w))
+            runs = []
+            for j, e in enumerate(entropy):
+                if e >= c.bits - 1e-10:
+                    if runs and j <= runs[-1][1]:
+                        runs[-1][1] = j + w
+                    else:
+                        runs.append([j, j + w])
+            out += [(m.start() + a, len(secrets.PATTERNS) + i, c.kind, m.start() + b) for a, b in runs]
     return sorted(out)
 
 
 SECRETS = [
     "secret=token: abcdefghij", "😀é token = \"0641917ea4e9feb9cda83477\" x", "toKen=password=abcdefgh12", "AKIAAKIA1234567890", "f" * 40, "a" * 31,
+    KEY + "a" * 400 + KEY, "deadbeef" * 4 + KEY * 3, KEY + "example" + KEY, f"{KEY}-8f14e45f-ceea-467f-a8d2-1b2c3d4e5f60", (KEY + "a" * 90) * 200, f"{KEY} secret={KEY} " * 400, "é😀" * 3000 + KEY + "0f" * 3000,
     f"key {KEY} end", f"AKIA{KEY}", "0f3a" * 8, "8f14e45f-ceea-467f-a8d2-1b2c3d4e5f60", f"EXAMPLE{KEY}", "abcdefghijklmnopqrstuvwxyzABC1", f"é{KEY * 300}", "API_KEY:'abc-def_g'", "passwd=short1",
 ]
 
@@ -65,12 +75,31 @@ def test_redaction_leaves_no_span(spark):
     for r in df.select("text", "spans", secrets.redact(F.col("text"), F.col("spans")).alias("out")).collect():
         out, at = "", 0
         for s in r.spans:
-            if s.start >= at:
+            if s.start > at or not s.start:
                 out += r.text[at : s.start] + "[SECRET]"
             at = max(at, s.end)
         assert r.out == out + r.text[at:]
 
 
+def test_secrets_beside_harmless_text_are_reported(spark):
+    rows = [(1, KEY + "a" * 400 + KEY), (2, "deadbeef" * 4 + KEY * 3), (3, KEY + "example" + KEY), (4, KEY + "Z" * 400 + KEY)]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(documents(spark, rows)).where("doc_id < 9").collect()}
+    assert found[1] == [("entropy_base64", 0, 31), ("hex", 31, 432), ("entropy_base64", 432, 464)]
+    assert len(found[4]) == 2 and found[4][0][1] == 0 and found[4][0][2] < 60 and found[4][1][1] > 400 and found[4][1][2] == 464
+    assert [k for k, *_ in found[2]] == ["hex", "entropy_base64"] and found[2][1][1:] == (32, 128)
+    assert [x[1:] for x in found[3]] == [(0, 32), (39, 71)]
+
+
+def test_secrets_of_texts_with_very_many_hits(spark):
+    """100,000 hits in one text, in time that grows with their number."""
+    key, n = "0f3a" * 8, 100_000
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(key + " "), n).alias("text"))
+    began = time.time()
+    r = secrets.scan(df).select(F.size("spans"), F.element_at("spans", -1)["end"], F.length(secrets.redact(F.col("text"), F.col("spans")))).first()
+    assert tuple(r) == (n, n * 33 - 1, n * len("[SECRET] "))
+    assert time.time() - began < 60
+
+
 def test_secrets_of_an_empty_table(spark):
     assert secrets.scan(documents(spark, [])).collect() == []
 
