@@ -3,12 +3,15 @@
 The words of a batch that are not yet known lie in one flat array of symbols.
 Each round finds, by binary search over the sorted keys of all mergeable pairs,
 every pair's rank, takes the lowest of each word, and merges its occurrences in
-all words at once; words without a mergeable pair leave the array.
+all words at once; words without a mergeable pair leave the array. Long words would
+need as many rounds as they have different pairs, over their whole length: their rounds go
+through the ranks in order instead, in all of them at once, and touch only one pair's places.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -24,8 +27,10 @@ _WS = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Words that a worker remembers; beyond that it starts afresh.
 REMEMBER = 200_000
-#: The longest word that is remembered.
+#: The longest word that is remembered, and the longest that is merged in rounds over all words, in bytes.
 LONGEST = 64
+#: Characters of a text that are split into words at a time.
+PIECE = 1 << 20
 
 
 def _alphabet() -> dict[str, int]:
@@ -112,42 +117,140 @@ class Codec:
         order = np.argsort(word, kind="stable")
         return sym[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))])
 
+    def merge_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of long words. Places are kept by the rank of the pair that starts
+        there; the lowest rank's are merged in all words, from left to right, and
+        only pairs beside them get new ranks."""
+        sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        n, none = len(sym), len(self.ranks)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, none)
+        own = np.flatnonzero(word[:-1] == word[1:])
+        rank[own] = self._rank(sym[own], sym[own + 1])
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def enter(at: np.ndarray) -> None:
+            at = at[rank[at] < none]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cut = np.flatnonzero(np.diff(rank[at])) + 1
+            for part in np.split(at, cut) if len(at) else ():
+                r = int(rank[part[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(waiting, r)
+                places[r].append(part)
+
+        enter(np.arange(n))
+        while waiting:
+            r = heapq.heappop(waiting)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # In a run of pairs (x x in x x x ...) every other one merges.
+            fresh = np.append(True, after[at[:-1]] != at[1:])
+            number = np.arange(len(at))
+            at = at[(number - number[fresh][np.cumsum(fresh) - 1]) % 2 == 0]
+            gone = after[at]
+            sym[at] = self.merged[r]
+            rank[gone] = none
+            sym[gone] = -1
+            after[at] = after[gone]
+            inside = at[after[at] < n]
+            before[after[inside]] = inside
+            at = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+            rank[at] = none
+            inside = at[after[at] < n]
+            inside = inside[word[inside] == word[after[inside]]]
+            rank[inside] = self._rank(sym[inside], sym[after[inside]])
+            enter(at)
+        left = sym >= 0
+        return sym[left].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(word[left], minlength=len(words)))])
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, by binary search; as many as there are for no pair."""
+        key = left * self.size + right
+        where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[where] == key, self.ranks[where], len(self.ranks))
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of words of any length."""
+        data = [w.encode() for w in words]
+        long = [i for i, w in enumerate(data) if len(w) > LONGEST]
+        ids, at = self.merge([b"" if len(w) > LONGEST else w for w in data])
+        if not long:
+            return ids, at
+        own, own_at = self.merge_long([data[i] for i in long])
+        size = np.diff(at)
+        size[long] = np.diff(own_at)
+        return np.insert(ids, np.repeat(at[long], size[long]), own), np.concatenate([[0], np.cumsum(size)])
+
     def _learn(self, words: list[str]) -> None:
-        ids, at = self.merge([w.encode() for w in words])
+        ids, at = self._merged(words)
         base = len(self.known)
         self.known.update(zip(words, range(base, base + len(words)), strict=True))
         self.flat = np.concatenate([self.flat, ids])
         self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
 
+    def _pieces(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, special tokens among them, some at a time."""
+        parts = self.special.split(text) if self.special is not None and self.special.search(text) else [text]
+        for i, piece in enumerate(parts):
+            if i % 2:
+                yield [piece]
+            elif len(piece) <= PIECE:
+                yield self.word.findall(piece)
+            else:
+                words, size = [], 0
+                for m in self.word.finditer(piece):
+                    words.append(m.group())
+                    size += len(words[-1])
+                    if size > PIECE:
+                        yield words
+                        words, size = [], 0
+                yield words
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of many texts. Special tokens' strings become their ids."""
-        found: list[list[str]] = []
-        for text in texts:
-            if self.special is not None and self.special.search(text):
-                parts: list[str] = []
-                for i, piece in enumerate(self.special.split(text)):
-                    parts += [piece] if i % 2 else self.word.findall(piece)
-                found.append(parts)
-            else:
-                found.append(self.word.findall(text))
+        ids, count, waiting, size = [], np.zeros(len(texts), np.int64), [], 0
+        for i, text in enumerate(texts):
+            for words in self._pieces(text):
+                waiting.append((i, words))
+                size += sum(map(len, words)) if len(text) > PIECE else len(text)
+                if size > PIECE:
+                    ids.append(self._encode(waiting, count))
+                    waiting, size = [], 0
+        ids.append(self._encode(waiting, count))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(count)])
+
+    def _encode(self, found: list[tuple[int, list[str]]], count: np.ndarray) -> np.ndarray:
+        """The ids of all words found; count gets how many of them each text has."""
         if len(self.known) > REMEMBER:
             self._forget()
         if not self.known:
             for s, i in self.added.items():
                 self.known[s] = len(self.known)
                 self.flat, self.at = np.append(self.flat, np.int32(i)), np.append(self.at, len(self.flat) + 1)
-        new = list(set().union(*found).difference(self.known)) if found else []
-        if new:
-            self._learn(new)
-        count = np.array([len(x) for x in found], np.int64)
-        index = np.fromiter((self.known[w] for x in found for w in x), np.int64, int(count.sum()))
-        ids, size = gather(self.flat, self.at, index)
-        words_at = np.concatenate([[0], np.cumsum(count)])
-        at = np.concatenate([[0], np.cumsum(size)])[words_at]
-        long = [w for w in new if len(w) > LONGEST]
-        if long and sum(map(len, long)) > 1 << 20:
-            self._forget()
-        return ids, at
+        new = set().union(*(w for _, w in found)).difference(self.known)
+        short = [w for w in new if len(w) <= LONGEST]
+        if short:
+            self._learn(short)
+        # Longer words serve this call only.
+        flat, at, known = self.flat, self.at, self.known
+        if len(short) < len(new):
+            long = [w for w in new if len(w) > LONGEST]
+            more, ends = self._merged(long)
+            known = dict(zip(long, range(len(at) - 1, len(at) - 1 + len(long)), strict=True))
+            flat, at = np.concatenate([flat, more]), np.concatenate([at, at[-1] + ends[1:]])
+            index = [known[w] if w in known else self.known[w] for _, x in found for w in x]
+        else:
+            index = [known[w] for _, x in found for w in x]
+        ids, size = gather(flat, at, np.array(index, np.int64))
+        owner = np.repeat([i for i, _ in found], [len(x) for _, x in found]).astype(np.int64)
+        np.add.at(count, owner, size)
+        return ids
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
         """The texts of many id sequences, special tokens included; bytes that are
@@ -183,7 +286,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id_col, ids array<int>, decoded string), a row for each row of docs: the
     whole text encoded, and the ids decoded again. A null text counts as empty:
     no ids, decoded empty. Repeated rows stay repeated, other columns are dropped,
-    an empty table gives an empty one. The vocabulary file must be readable at the
+    an empty table gives an empty one. Texts and words may be of any length. The vocabulary file must be readable at the
     same path on every executor (it is part of an installed package)."""
     path = path or default_path()
 

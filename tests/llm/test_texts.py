@@ -1,6 +1,8 @@
 """Near-duplicates, repeated passages, BPE and decontamination against brute force."""
 
 import hashlib
+import random
+import time
 
 import numpy as np
 import pytest
@@ -200,6 +202,26 @@ def test_bpe_matches_the_library(spark):
     assert {r.doc_id: r.decoded for r in found} == {i: t or "" for i, t in texts()}
 
 
+def test_bpe_of_long_words_matches_the_library(monkeypatch):
+    """Words without a break: equal to the library, in time that grows with their length, and not remembered."""
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    own, ref = bpe.Codec(path), Tokenizer.from_file(path)
+    r = random.Random(5)
+    words = ["".join(r.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "a", "theinandofé漢") for n in (65, 66, 500, 5000)]
+    monkeypatch.setattr(bpe, "PIECE", 3000)
+    for texts_ in (words, [" ".join(words), "", "x"], [f"a {w} <|endoftext|>{w} b" for w in words]):
+        ids, at = own.encode(texts_)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [ref.encode(t, add_special_tokens=False).ids for t in texts_]
+    assert max(map(len, own.known)) <= bpe.LONGEST
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.time()
+    ids, _ = own.encode([long])
+    assert time.time() - began < 60
+    assert ids.tolist() == ref.encode(long, add_special_tokens=False).ids
+
+
 def test_bpe_forgets_and_goes_on(monkeypatch):
     path = bpe.default_path()
     whole = bpe.Codec(path).encode([t for _, t in sample(40)])[0]
