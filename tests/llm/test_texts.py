@@ -275,8 +275,26 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, most_bytes):
             if w and (c := tiling(a, w, 5)):
                 want[d, i] = (c, len(w))
     assert found == want
-    caught = {(r.id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
-    assert {(4, 1), (5, 1), (8, 4)} <= caught and not {d for d, _ in caught} & {1, 2, 3}
+    caught = {(r.id, r.item_id): (r.n_covered, r.n_words) for r in decontam.contaminated(docs, items).collect()}
+    assert caught == {x: (c, n) for x, (c, n) in want.items() if c >= 0.5 * n}
+    assert {(4, 1), (5, 1), (8, 4)} <= set(caught) and not {d for d, _ in caught} & {1, 2, 3}
+
+
+@pytest.mark.parametrize("most_bytes", [decontam.MOST_BYTES, 0])
+def test_a_very_common_passage_makes_few_pairs(spark, monkeypatch, most_bytes):
+    """A line that all items and documents share is no reason to tile; the result stays whole."""
+    monkeypatch.setattr(decontam, "MOST_BYTES", most_bytes)
+    line = prose(30, 12)
+    bench = [(i, f"{line} {prose(100 + i, 20)}") for i in range(30)]
+    rows = [(i, f"{prose(200 + i, 15)} {line}") for i in range(40)] + [(50, bench[3][1]), (51, f"{line} {prose(104, 20)} x")]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    found = {(r.id, r.item_id) for r in decontam.contaminated(documents(spark, rows), items).collect()}
+    assert found == {(50, 3), (51, 4)}
+    index = decontam._Index(bench, 5, 0.5)
+    data = np.frombuffer(rows[0][1].encode(), np.uint8)
+    begin, end, first = tokens.words(data, np.array([0, len(data)]))
+    assert len(list(decontam._Index(bench, 5, 0.0).met(tokens.word_hashes(data, begin, end, fold=True), first))) == 30
+    assert all(decontam._covered(tokens.word_hashes(data, begin, end, fold=True), w, 5, 0.5) is None for w, _ in index.parts)
 
 
 def test_empty_tables(spark):
