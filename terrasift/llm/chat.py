@@ -56,5 +56,6 @@ def render(turns: Column) -> Column:
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, rendered) of the maximal conversations of
     (conv_id, turn, role, text). An empty table gives an empty one; other columns
-    are ignored; see conversations() for nulls and ties."""
+    are ignored; see conversations() for nulls and ties. A conversation is one row, so its turns
+    together must fit into a task; there may be any number of conversations."""
     return maximal(turns).select("conv_id", F.size("turns").cast("long").alias("n_turns"), render(F.col("turns")).alias("rendered"))

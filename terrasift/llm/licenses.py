@@ -114,8 +114,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     Rows without id go; null, empty and wordless texts match nothing; repeated rows
     give one result; ties between templates go to the first; an empty table gives
-    an empty result; other columns are ignored."""
+    an empty result, and so do no templates; other columns are ignored; texts may have any length."""
     spark = docs.sparkSession
+    if not templates:
+        return docs.limit(0).select(id_col, F.lit("").alias("license"), F.lit(0).cast("long").alias("n_matched"), F.lit(0).cast("long").alias("n_shingles"))
     table = template_table(spark, templates)
     table = F.broadcast(table) if len(templates) <= MOST_BROADCAST else table
     keys = table.select("template", "most", F.explode(bands(F.col("wanted"))).alias("b")).select("template", "most", "b.band", "b.least")

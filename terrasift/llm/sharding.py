@@ -10,6 +10,7 @@ one hash and one lookup.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,11 +61,14 @@ def slot(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
-    """df with the columns slot and shard (replaced if it has them).
+    """df with the columns slot and shard (replaced if it has them, the key itself if it
+    has one of these names).
 
     Every row is placed by its key alone: repeated rows and ties go to the same
     shard, a null key goes where the empty string goes, an empty table stays
     empty, and the length of other columns does not matter.
     """
     table = lookup(df.sparkSession, shards, size)
-    return df.drop("shard").withColumn("slot", slot(F.col(key), size)).join(F.broadcast(table), "slot")
+    at = f"slot_{uuid.uuid4().hex}"  # no other column has this name
+    placed = df.withColumn(at, slot(F.col(f"`{key}`"), size)).drop("slot", "shard")
+    return placed.withColumnRenamed(at, "slot").join(F.broadcast(table), "slot")

@@ -153,8 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from at most `most` rows of each label, none of them held out.
 
     The rows are the first in the order of a hash of their id, so the same rows
-    give the same model. Labels or ids that are null, and labels without a
-    document, are left out; of several labels of a document the highest counts."""
+    give the same model. Ids are integers. Labels or ids that are null, and labels without a
+    document, are left out; of several labels of a document the highest counts, of several
+    texts the smallest, so no more than 2 * most texts reach the driver, as sets of hashes.
+    A null text counts as empty; texts may be of any length; either table may be empty."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     taken = [r for y in (0, 1) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(most).collect()]
@@ -163,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r["id"], r["toxic"]) for r in taken], "id long, toxic int")  # at most 2 * most rows
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     found = examples(rows).toArrow().combine_chunks()
     lists = [[x.values.to_numpy() for x in found.column(c)] for c in ("features", "swapped")]
     order = sorted(range(len(found)), key=lambda i: (len(lists[0][i]), lists[0][i].tobytes()))
@@ -171,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", predicted: str = "predicted") -> DataFrame:
     """docs with the columns score (0 to 1) and predicted (1 from 0.5 on), replaced if
-    they exist. A null or empty text gets the score of no words; every row is
+    they exist. Null and repeated ids are kept. A null or empty text gets the score of no words; every row is
     scored by its text alone, so repeated rows score alike."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     extra = [f for f in docs.drop("score", predicted).schema.fields]
