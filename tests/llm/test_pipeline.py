@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from terrasift.llm import toxicity
 
 from .fixtures import SF
@@ -72,3 +73,22 @@ def test_documents_that_share_an_id_are_told_apart(spark):
     left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
     want = [(0, f"{b} more"), (1, a), (2, c), (3, d), (3, "short other text"), (None, a), (5, None), (5, "")]
     assert sorted(left, key=str) == sorted(want, key=str)
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200")
+    names = ["score", "predicted", "_toxic", "spans", "_row", "id", "_sha", "carried_1", "key"]
+    docs = docs.select("*", *(F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names))
+    docs = docs.union(docs.where("doc_id = 3").withColumn("text", F.lit("another text of three")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names), name
+
+
+def test_contaminated_rows_do_not_take_others_of_their_id_along(spark):
+    item = pq.read_table(f"{SF}/benchmark.parquet")["text"].to_pylist()[0]
+    rows = [(1, item), (1, "clean words only"), (2, f"x {item} y"), (3, "clean"), (None, item), (1, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()]
+    assert sorted(left, key=str) == sorted([(1, "clean words only"), (3, "clean"), (None, item), (1, None)], key=str)
