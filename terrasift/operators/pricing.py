@@ -106,8 +106,10 @@ def anchors(observations: DataFrame, model: dict, city: str = "city", price: str
     """A row per city key with enough observations: the weighted lower median price in
     logarithms (weights: roots of listings) and the half width of its interval."""
     rows = observations.select(text.area_key(F.col(city)).alias("city_key"), F.log(price).alias("log_price"), F.sqrt(listings).alias("weight"), F.col(listings).alias("n_listings"))
-    n = rows.groupBy("city_key").agg(F.count("*").alias("n_observations"), F.sum("n_listings").alias("n_listings")).where(F.col("n_observations") >= model["minimum_top_anchor_observations"])
-    rows = rows.drop("n_listings").join(n, "city_key")
+    # Equal prices of a city are one row from here on, and the observations are read once.
+    rows = keep(rows.groupBy("city_key", "log_price").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum("n_listings").alias("n_listings")))
+    n = rows.groupBy("city_key").agg(F.sum("n").alias("n_observations"), F.sum("n_listings").alias("n_listings")).where(F.col("n_observations") >= model["minimum_top_anchor_observations"])
+    rows = rows.select("city_key", "log_price", "weight").join(n, "city_key")
     middle = stats.weighted_quantile(rows, "log_price", "weight", 0.5, ["city_key"], "log_anchor")
     off = rows.join(middle, "city_key").withColumn("off", F.abs(F.col("log_price") - F.col("log_anchor")))
     mad = stats.weighted_quantile(off, "off", "weight", 0.5, ["city_key"], "mad")
@@ -137,7 +139,7 @@ def donors(anchor: DataFrame, economics: DataFrame, cell_counts: DataFrame) -> D
 def comparable(targets: DataFrame, donor: DataFrame, model: dict, target: str = "city_key") -> DataFrame:
     """(target, price, half_width, n_donors) of targets (city_key, deposits_per_cell): the
     nearest donors in logarithms of deposits per cell, their prices scaled by the
-    ratio, averaged by similarity. donor: a small table of anchored cities."""
+    ratio, averaged by similarity. donor: the anchored cities."""
     f = model["comparable_city_fallback"]
     give = donor.where("deposits_per_cell > 0 and anchor_price > 0").select(F.col("city_key").alias("donor_key"), F.col("deposits_per_cell").alias("donor_density"), "anchor_price", F.col("half_width").alias("donor_half"))
     ask = targets.where("deposits_per_cell > 0").select(target, "deposits_per_cell")
@@ -145,7 +147,7 @@ def comparable(targets: DataFrame, donor: DataFrame, model: dict, target: str =
     near = relational.nearest(ask, give, target, F.abs(F.log(ratio)), max(1, f["n_neighbors"]), F.col("donor_key"))
     scaled = F.col("anchor_price") * F.pow(F.least(F.greatest(ratio, F.lit(f["deposit_ratio_min"])), F.lit(f["deposit_ratio_max"])), F.lit(f["deposit_ratio_exponent"]))
     weight = F.greatest(F.exp(-0.5 * F.pow(F.col("distance") / max(f["similarity_bandwidth_log"], 1e-6), 2)), F.lit(1e-6))
-    near = near.withColumn("scaled", scaled).withColumn("w", weight)
+    near = keep(near.withColumn("scaled", scaled).withColumn("w", weight))
     log = F.log("scaled")
     total = F.sum("w")
     mean = near.groupBy(target).agg((F.sum(log * F.col("w")) / total).alias("mean_log"))

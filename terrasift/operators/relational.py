@@ -95,11 +95,28 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, *order: Column) ->
     return left.join(pick(right, [key], *order), key, "left")
 
 
+#: The most rows of a side that is broadcast.
+MOST_BROADCAST = 100_000
+#: Rows of a block of the asking side, where both sides are larger.
+ASKED = 10_000
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, distance: Column, k: int, *tie: Column) -> DataFrame:
-    """Every left row with its k nearest rows of right, a small table (broadcast: check its
-    size first), and their rank and distance."""
-    pairs = left.crossJoin(F.broadcast(right)).withColumn("distance", distance)
+    """Every left row with its k nearest rows of right, and their rank and distance.
+
+    The left rows are the queries: each is compared with all rows of right. The smaller
+    side is broadcast if it has at most MOST_BROADCAST rows; beyond that queries meet
+    the other side in blocks of about ASKED. Each task keeps the k best of its pairs, so
+    that no more are shuffled."""
+    n, m = left.count(), right.count()
+    if min(n, m) <= MOST_BROADCAST:
+        pairs = left.crossJoin(F.broadcast(right)) if m <= n else right.crossJoin(F.broadcast(left))
+    else:
+        blocks = -(-n // ASKED)
+        dealt = left.withColumn("_block", F.pmod(F.xxhash64(left_id), F.lit(blocks)).cast("int"))
+        pairs = dealt.join(right.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "_block").drop("_block")
     rank = F.row_number().over(Window.partitionBy(left_id).orderBy("distance", *tie))
+    pairs = pairs.select(*left.columns, *right.columns).withColumn("distance", distance)
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

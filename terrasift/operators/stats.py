@@ -15,6 +15,8 @@ from ..storage import keep
 
 #: Value ranges that a group's ranks are worked out in.
 BUCKETS = 256
+#: Cuts between ranges that are looked at together.
+STEP = 16
 
 
 def _name() -> str:
@@ -48,16 +50,20 @@ def percent_ranks(df: DataFrame, ranks: dict[str, tuple[str, bool]], by: list[st
     its group's values over their number; null stays null. Of positive ranks only
     values above 0 take part, everything else is 0.
 
-    All values are counted together, then dealt to BUCKETS equal ranges of their
-    group; a rank is what lies in lower ranges, plus the place in its own. df is read
-    twice, however many ranks are asked for."""
+    All values are counted together, then dealt to BUCKETS ranges of their group that hold
+    about equally many different values, however they are spread; a rank is what lies in
+    lower ranges, plus the place in its own. df is read twice, however many ranks are
+    asked for."""
     value = {out: F.when(F.col(v) > 0, F.col(v).cast("double")) if positive else F.col(v).cast("double") for out, (v, positive) in ranks.items()}
     long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(out).alias("r_out"), v.alias("r_v")) for out, v in value.items()))).alias("r"))
     keys = [*by, "r_out"]
     counted = keep(long.select(*by, "r.*").where("r_v is not null").groupBy(*keys, "r_v").agg(F.count("*").alias("r_n")))
-    spans = with_group(counted, keys, r_lo=F.min("r_v"), r_hi=F.max("r_v"), r_total=F.sum("r_n"))
-    place = F.when(F.col("r_hi") > F.col("r_lo"), F.least(F.lit(BUCKETS - 1), F.floor((F.col("r_v") - F.col("r_lo")) / (F.col("r_hi") - F.col("r_lo")) * BUCKETS))).otherwise(0)
-    spans = keep(spans.withColumn("r_bucket", place.cast("int")))
+    cuts = F.percentile_approx("r_v", [i / BUCKETS for i in range(1, BUCKETS)], 4 * BUCKETS)
+    spans = with_group(counted, keys, r_total=F.sum("r_n"), r_cuts=cuts)
+    # The range of a value is how many cuts are below it: of STEP cuts first the last ones, then the rest.
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col("r_v")))
+    lasts = F.transform(F.sequence(F.lit(1), F.lit(BUCKETS // STEP - 1)), lambda i: F.get(F.col("r_cuts"), i * STEP - 1))
+    spans = spans.withColumn("r_part", below(lasts)).withColumn("r_bucket", F.col("r_part") * STEP + below(F.slice("r_cuts", F.col("r_part") * STEP + 1, STEP))).drop("r_cuts", "r_part")
     up = Window.partitionBy(*keys).orderBy("r_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = spans.groupBy(*keys, "r_bucket").agg(F.sum("r_n").alias("own")).withColumn("r_lower", F.coalesce(F.sum("own").over(up), F.lit(0)))
     inside = Window.partitionBy(*keys, "r_bucket").orderBy("r_v").rowsBetween(Window.unboundedPreceding, -1)

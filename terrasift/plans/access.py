@@ -39,7 +39,7 @@ def haversine_nearest_supplier(spark, d):
     near = features.nearest_point(
         customers(spark, d).select("c_custkey", "city", "x", "y", "lat", "lng"),
         suppliers(spark, d).select("s_suppkey", "city", F.col("x").alias("px"), F.col("y").alias("py"), F.col("lat").alias("plat"), F.col("lng").alias("plng")),
-        "c_custkey", "s_suppkey", 25.0, geo.haversine_km(F.col("lat"), F.col("lng"), F.col("plat"), F.col("plng")),
+        "c_custkey", "s_suppkey", 2.0, geo.haversine_km(F.col("lat"), F.col("lng"), F.col("plat"), F.col("plng")),
         stretch=2.0,  # up to 60 degrees of latitude
     )
     return near.select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance_km"))
@@ -58,7 +58,7 @@ def scored(spark, d):
     own = customers(spark, d).withColumn("nation", F.col("c_nationkey"))
     orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("double").alias("road_density_km"))
     pull = features.gravity(own, suppliers(spark, d), SCALES["establishment"], ["c_custkey"])
-    near = features.nearest_point(own.select("c_custkey", "city", "x", "y"), suppliers(spark, d).select("s_suppkey", "city", F.col("x").alias("px"), F.col("y").alias("py")), "c_custkey", "s_suppkey", 25.0, geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
+    near = features.nearest_point(own.select("c_custkey", "city", "x", "y"), suppliers(spark, d).select("s_suppkey", "city", F.col("x").alias("px"), F.col("y").alias("py")), "c_custkey", "s_suppkey", 2.0, geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
     df = own.join(pull, "c_custkey", "left").join(near.select("c_custkey", F.col("distance").alias("dist_major_road_km")), "c_custkey", "left").join(orders, "c_custkey", "left")
     df = df.withColumns({
         "dist_cbd_km": geo.haversine_km(F.col("lat"), F.col("lng"), F.lit(10.3), F.lit(123.9)),

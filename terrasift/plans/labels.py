@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import text
 from ..operators import economics, pricing, stats
+from ..storage import keep
 from .bindings import area_key_sql, table
 
 QUERIES, ORACLES = {}, {}
@@ -139,8 +140,9 @@ def nations(spark, d):
 _NATIONS = f"(SELECT n_nationkey, {area_key_sql('n_name')} AS city_key, sum(greatest(c_acctbal, 0)) AS deposits, count(*) AS cells, sum(greatest(c_acctbal, 0)) / count(*) AS density FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1, 2)"
 
 
-def donor_profiles(spark, d):
-    anchor = pricing.anchors(pricing.normalize_observations(observations(spark, d), MODEL), MODEL)
+def donor_profiles(spark, d, anchor=None):
+    if anchor is None:
+        anchor = pricing.anchors(pricing.normalize_observations(observations(spark, d), MODEL), MODEL)
     return pricing.donors(anchor, nations(spark, d).where("n_nationkey % 2 = 0").drop("n_land_cells"), nations(spark, d).select("city_key", "n_land_cells"))
 
 
@@ -152,9 +154,9 @@ QUERIES["donor_city_profiles"] = donor_city_profiles
 ORACLES["donor_city_profiles"] = f"WITH {_ANCHORS} SELECT city_key, round(anchor_price, 4) AS anchor_price, round(density, 4) AS deposits_per_cell, cells AS n_land_cells FROM anchors JOIN {_NATIONS} USING (city_key) WHERE n_nationkey % 2 = 0 AND deposits > 0"
 
 
-def compared(spark, d):
+def compared(spark, d, anchor=None):
     targets = nations(spark, d).where("n_nationkey % 2 = 1").withColumn("deposits_per_cell", F.col("bank_deposits_php") / F.col("n_land_cells"))
-    return pricing.comparable(targets, donor_profiles(spark, d), MODEL)
+    return pricing.comparable(targets, donor_profiles(spark, d, anchor), MODEL)
 
 
 def comparable_city_baseline(spark, d):
@@ -177,19 +179,20 @@ def priced_cells(spark, d):
 
 
 def price_dispatch(spark, d):
-    """Nations 0, 4, 8 have anchors, 2, 6, 10 observed means, odd ones comparables; even ones from 12 on have no price."""
-    obs = pricing.normalize_observations(observations(spark, d), MODEL)
+    """Nations that four divides have anchors, other even ones observed means, odd ones comparables."""
+    obs = keep(pricing.normalize_observations(observations(spark, d), MODEL))
+    anchored = keep(pricing.anchors(obs, MODEL))
     key = nations(spark, d).select("city_key", "n_nationkey")
-    anchor = pricing.anchors(obs, MODEL).join(key, "city_key").where("n_nationkey % 4 = 0 and n_nationkey < 12")
-    seen = pricing.calibrations(obs).join(key, "city_key").where("n_nationkey % 4 = 2 and n_nationkey < 12")
-    out = pricing.price_cells(priced_cells(spark, d), anchor, seen, compared(spark, d), MODEL, -0.2, 0.3)
+    anchor = anchored.join(key, "city_key").where("n_nationkey % 4 = 0")
+    seen = pricing.calibrations(obs).join(key, "city_key").where("n_nationkey % 4 = 2")
+    out = pricing.price_cells(priced_cells(spark, d), anchor, seen, compared(spark, d, anchored), MODEL, -0.2, 0.3)
     return out.select("c_custkey", "price_source", *(F.round(c, 4).alias(c) for c in pricing.PRICES))
 
 
 QUERIES["price_dispatch"] = price_dispatch
 _CELLS = f"(SELECT c_custkey, n.city_key, n.n_nationkey, (greatest(c_acctbal, 0) + 1) / 10000 AS score, c_custkey % 5 <> 0 AS in_metro FROM customer JOIN {_NATIONS} n ON c_nationkey = n_nationkey)"
 ORACLES["price_dispatch"] = f"""WITH {_ANCHORS}, {_COMPARED}, seen AS (SELECT city_key, sum(price * listings) / sum(listings) AS price FROM obs GROUP BY 1),
-j AS (SELECT c.*, CASE WHEN n_nationkey % 4 = 0 AND n_nationkey < 12 THEN a.anchor_price END AS pa, a.half_width AS ha, CASE WHEN n_nationkey % 4 = 2 AND n_nationkey < 12 THEN s.price END AS ps, k.price AS pk, k.half_width AS hk
+j AS (SELECT c.*, CASE WHEN n_nationkey % 4 = 0 THEN a.anchor_price END AS pa, a.half_width AS ha, CASE WHEN n_nationkey % 4 = 2 THEN s.price END AS ps, k.price AS pk, k.half_width AS hk
   FROM {_CELLS} c LEFT JOIN anchors a USING (city_key) LEFT JOIN seen s USING (city_key) LEFT JOIN compared k USING (city_key)),
 src AS (SELECT *, CASE WHEN NOT in_metro THEN NULL WHEN pa IS NOT NULL THEN 'top_market_anchor' WHEN ps IS NOT NULL THEN 'observed_market_calibration' WHEN pk IS NOT NULL THEN 'deposit_per_cell_comparable_cities' END AS price_source FROM j),
 surf AS (SELECT *, quantile_cont(score, 0.9) OVER (PARTITION BY city_key, price_source) AS q, avg(score) OVER (PARTITION BY city_key, price_source) AS ms FROM src),
@@ -275,10 +278,10 @@ def reference_rows(spark, d):
 
 
 def best_reference_match(spark, d):
-    """The best reference row of two thirds of the customers, as its SQL has it."""
+    """The best reference row of every customer."""
     from ..operators import relational
 
-    asked = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).where("c_custkey % 3 < 2")
+    asked = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     asked = asked.select("c_custkey", F.concat("n_name", F.lit(" City, Prov"), (F.col("c_custkey") % 6).cast("string"), F.lit(", Philippines")).alias("place")).withColumn("area_key", text.area_key(F.col("place")))
     ref = reference_rows(spark, d).withColumn("area_key", text.area_key(F.col("core_city")))
     return relational.best_match(asked, ref, "area_key", "place", "c_custkey").select("c_custkey", F.col("ref_id").alias("s_suppkey"), "deposit_scope", "period")
@@ -286,7 +289,7 @@ def best_reference_match(spark, d):
 
 QUERIES["best_reference_match"] = best_reference_match
 ORACLES["best_reference_match"] = """WITH ref AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Prov' || (s_suppkey % 4) END AS province, ['metro', 'city', 'barangay'][s_suppkey % 3 + 1] AS deposit_scope, (s_suppkey % 7 + 2000) || '-01-01' AS period FROM supplier),
-j AS (SELECT c_custkey, r.*, coalesce(contains(lower('Prov' || (c_custkey % 6)), lower(province)), false) AS named FROM customer LEFT JOIN ref r ON s_nationkey = c_nationkey WHERE c_custkey % 3 < 2),
+j AS (SELECT c_custkey, r.*, coalesce(contains(lower('Prov' || (c_custkey % 6)), lower(province)), false) AS named FROM customer LEFT JOIN ref r ON s_nationkey = c_nationkey),
 k AS (SELECT *, bool_or(named) OVER (PARTITION BY c_custkey) AS any_ FROM j)
 SELECT c_custkey, s_suppkey, deposit_scope, period FROM k WHERE named OR NOT any_
 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY CASE deposit_scope WHEN 'metro' THEN 0 WHEN 'city' THEN 1 ELSE 2 END, period DESC NULLS LAST, s_suppkey NULLS FIRST) = 1"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only where none is set (tests)."""
+    """The session's checkpoint folder. Without one only a session on one machine (tests)
+    gets a folder of its own; a cluster has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         found = tempfile.mkdtemp(prefix="terrasift-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
