@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import geo, hexgrid
 from ..operators import features, graph
+from ..sources import sinks
 from .access import customers, suppliers
 from .bindings import LATTICE, ORIGIN, _KX, _KY, celled_sql, placed, placed_sql, table
 
@@ -323,14 +324,71 @@ round(x + (1 + s_nationkey) / 3::DOUBLE, 5) AS mx, 3.0::DOUBLE AS off FROM {plac
 
 def metro_outline(spark, d):
     """The sides of dense cells that no other dense cell shares: the outline of the town."""
-    return export_outline(dense(spark, d)).select("cell", "side")
-
-
-def export_outline(cells):
-    sides = cells.select("city", "cell", F.posexplode(F.array(*(F.col("cell") + (q * _STEP + r) for q, r in hexgrid.RING))).alias("side", "other"))
-    return sides.join(cells.select("city", F.col("cell").alias("other")), ["city", "other"], "left_anti")
+    return sinks.outline(dense(spark, d)).select("cell", "side")
 
 
 QUERIES["metro_outline"] = metro_outline
 ORACLES["metro_outline"] = f"""WITH town AS (SELECT cell FROM {_DENSE}), way(side, o) AS (VALUES {', '.join(f'({i}, {q * _STEP + r})' for i, (q, r) in enumerate(hexgrid.RING))})
 SELECT cell, side::INT AS side FROM town CROSS JOIN way WHERE cell + o NOT IN (FROM town)"""
+
+
+def city_cells(spark, d):
+    """(city, cell, n): the cells that each nation's customers lie in."""
+    own = placed(table(spark, d, "customer"), "c_custkey", "c_nationkey").withColumn("cell", LATTICE.cell(F.col("lat"), F.col("lng")))
+    return own.groupBy("city", "cell").agg(F.count("*").alias("n"))
+
+
+_CITY_CELLS = f"(SELECT city, cell, q, r, count(*) AS n FROM {celled_sql(placed_sql('customer', 'c_custkey', 'c_nationkey'))} GROUP BY ALL)"
+
+
+def metro_polygon(spark, d):
+    """Each nation's cells as polygons: their number, holes, sides and the area of their rings."""
+    found = sinks.polygons(city_cells(spark, d), LATTICE)
+    total = lambda of: F.aggregate(of, F.lit(0.0), lambda s, v: s + v)
+    areas = F.transform("rings", geo.ring_area)
+    return found.groupBy("city").agg(
+        F.count("*").alias("polygons"), F.sum(F.size("rings") - 1).alias("holes"), F.sum(F.size(F.flatten("rings"))).alias("sides"),
+        F.round(F.sum(2 * F.element_at(areas, 1) - total(areas)), 6).alias("area_km2"),
+    )
+
+
+QUERIES["metro_polygon"] = metro_polygon
+#: Holes by Euler's formula: parts less holes are corners less sides plus cells.
+ORACLES["metro_polygon"] = f"""WITH RECURSIVE town AS MATERIALIZED (SELECT * FROM {_CITY_CELLS}), way(o) AS (VALUES {', '.join(f'({q * _STEP + r})' for q, r in hexgrid.RING)}),
+link AS MATERIALIZED (SELECT a.city, a.cell, b.cell AS other FROM town a CROSS JOIN way JOIN town b ON b.city = a.city AND b.cell = a.cell + way.o),
+reach(city, cell, seed) AS (SELECT city, cell, cell FROM town UNION SELECT l.city, l.other, r.seed FROM reach r JOIN link l USING (city, cell)),
+parts AS (SELECT city, count(DISTINCT least_seed) AS k FROM (SELECT city, cell, min(seed) AS least_seed FROM reach GROUP BY 1, 2) GROUP BY 1),
+corners AS (SELECT city, count(DISTINCT (2 * q + r + dx, 3 * r + dy)) AS v FROM town CROSS JOIN (VALUES (1, -1), (1, 1), (0, 2), (-1, 1), (-1, -1), (0, -2)) w(dx, dy) GROUP BY 1),
+shared AS (SELECT city, count(*) // 2 AS m FROM link GROUP BY 1), cells AS (SELECT city, count(*) AS f FROM town GROUP BY 1)
+SELECT city, k AS polygons, (k - (v - (6 * f - coalesce(m, 0)) + f))::BIGINT AS holes, (6 * f - 2 * coalesce(m, 0))::BIGINT AS sides, round(f * {LATTICE.cell_area!r}::DOUBLE, 6) AS area_km2
+FROM cells JOIN parts USING (city) JOIN corners USING (city) LEFT JOIN shared USING (city)"""
+
+
+def city_summary(spark, d):
+    """The summary record of each nation, its cells with several customers being the metro."""
+    cells = city_cells(spark, d).withColumn("lat", LATTICE.lat(F.col("cell"))).withColumn("lng", LATTICE.lng(F.col("cell")))
+    return sinks.summary(cells.withColumn("in_metro", F.col("n") > 1).withColumn("is_connector", F.col("n") == 2).withColumnRenamed("n", "poi_count"), LATTICE)
+
+
+QUERIES["city_summary"] = city_summary
+_LAT = f"({LATTICE.edge}::DOUBLE * (1.5::DOUBLE * r)) / {_KY}::DOUBLE + {ORIGIN[0]}::DOUBLE"
+_LNG = f"({LATTICE.edge}::DOUBLE * ({math.sqrt(3)!r}::DOUBLE * q + {math.sqrt(3) / 2!r}::DOUBLE * r)) / {_KX}::DOUBLE + {ORIGIN[1]}::DOUBLE"
+ORACLES["city_summary"] = f"""SELECT city, count(*) AS n_land, count(*) FILTER (n > 1) AS n_metro, count(*) FILTER (n = 2) AS n_connectors, sum(n)::BIGINT AS n_pois,
+round(count(*) * {LATTICE.cell_area!r}::DOUBLE, 1) AS land_km2, round(count(*) FILTER (n > 1) * {LATTICE.cell_area!r}::DOUBLE, 1) AS metro_km2,
+round(min({_LNG}), 5) AS west, round(min({_LAT}), 5) AS south, round(max({_LNG}), 5) AS east, round(max({_LAT}), 5) AS north FROM {_CITY_CELLS} GROUP BY city"""
+
+
+def map_layers(spark, d):
+    """Suppliers as map features: their category's colour, and the layers that show them."""
+    names = [*sinks.CATEGORY_COLOURS, "other", None]
+    category = F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("s_nationkey") % len(names) + 1).cast("int"))
+    metro, link = F.col("s_acctbal") > 3000, F.col("s_acctbal").between(0, 1000)
+    return table(spark, d, "supplier").select(
+        "s_suppkey", sinks.category_colour(category).alias("colour"), sinks.cells_shown(metro, False, False).alias("value_view"), sinks.cells_shown(metro, True, False).alias("metro_view"),
+        sinks.cells_shown(metro, True, True).alias("metro_only"), sinks.connectors_shown(link, True, True).alias("connectors"), sinks.connectors_shown(link, False, True).alias("connectors_elsewhere"),
+    )
+
+
+QUERIES["map_layers"] = map_layers
+ORACLES["map_layers"] = f"""SELECT s_suppkey, CASE s_nationkey % 10 {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(sinks.CATEGORY_COLOURS.values()))} ELSE '#888' END AS colour,
+s_acctbal > 3000 AS value_view, true AS metro_view, s_acctbal > 3000 AS metro_only, s_acctbal BETWEEN 0 AND 1000 AS connectors, false AS connectors_elsewhere FROM supplier"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import text
 from ..operators import economics, pricing, stats
+from ..sources import readers
 from ..storage import keep
 from .bindings import area_key_sql, table
 
@@ -70,6 +71,17 @@ ORACLES["reject_reason_counts"] = _CHECKED + """SELECT count(*) AS input_rows, c
 count(*) FILTER (NOT ok_price) AS rejected_price, count(*) FILTER (NOT ok_location) AS rejected_location, count(*) FILTER (NOT ok_provenance) AS rejected_provenance FROM checked"""
 
 
+def spatial_labels(spark, d):
+    """Line items as spatial labels: those of commercial land, with the number in their price."""
+    found = readers.spatial_labels(raw_listings(spark, d).withColumnRenamed("city", "place").withColumnRenamed("price", "price_per_sqm_php"))
+    return found.select(F.col("_seq").alias("seq"), "place", "price_per_sqm_php")
+
+
+QUERIES["spatial_labels"] = spatial_labels
+ORACLES["spatial_labels"] = _CHECKED + """SELECT seq, city AS place, try_cast(regexp_replace(price, '[^0-9.\\-]', '', 'g') AS DOUBLE) AS price_per_sqm_php FROM checked
+WHERE contains(lower(kind), 'commercial') AND regexp_matches(lower(kind), 'land|lot') AND NOT regexp_matches(lower(kind), 'house|condo|building|improvement')"""
+
+
 def observations(spark, d):
     """Orders as market observations of their customer's nation."""
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))

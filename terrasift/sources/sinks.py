@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import json
+import math
 import threading
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import COMPONENTS, Config, normalised_weights
 from ..functions import hexgrid
 from ..functions.hexgrid import Lattice
-from ..operators import relational
+from ..operators import graph, relational
 
 #: Labels of the components, and the metrics of a map.
 COMPONENT_LABELS = ("Downtown", "Major road", "Establishments", "POI density", "Road density")
 METRICS = (("lv", "Land value index"), ("rvs", "Value share"), ("bs", "Built-up score"), ("ea", "Establishment access"), ("dcbd", "Distance to downtown"))
 PRICE_METRIC = ("ppsm", "Commercial land price")
+#: The colour of each category of establishments on a map, and that of any other.
+CATEGORY_COLOURS = {
+    "mall": "#e6194B", "office": "#4363d8", "transport": "#3cb44b", "school": "#f58231",
+    "hospital": "#911eb4", "government": "#42d4f4", "bank": "#bfef45", "leisure": "#469990",
+}
+OTHER_COLOUR = "#888"
 #: The short key, column and decimals of each property of a cell.
 CELL_PROPERTIES = (
     ("lv", "land_value_index", 2), ("rvs", "relative_value_share", 8), *((f"c{i}", f"norm_{c}", 4) for i, c in enumerate(COMPONENTS)), ("ea", "establishment_access", 3),
@@ -82,19 +90,75 @@ def outline(cells: DataFrame) -> DataFrame:
     return sides.join(cells.select("city", F.col("cell").alias("other")), ["city", "other"], "left_anti")
 
 
+#: A cell's corners, turning left, in steps of half a cell's width and a quarter of its height.
+CORNERS = ((1, -1), (1, 1), (0, 2), (-1, 1), (-1, -1), (0, -2))
+
+
+def polygons(cells: DataFrame, lattice: Lattice) -> DataFrame:
+    """(city, component, rings): a polygon for each connected part of (city, cell), its
+    outside first, then its holes, as points x and y of the plane without the first one
+    again. A part's outline is one value in the end, so one task chains it; a city's parts
+    and all cities go to tasks of their own."""
+
+    def chained(part: pd.DataFrame) -> pd.DataFrame:
+        """The rings of one component's sides. Cells that touch share a side, so each corner of
+        the outline has one side that leaves it, and one ring, the only left turning one, is
+        outside."""
+        leave = dict(zip(zip(part["ax"], part["ay"]), zip(part["bx"], part["by"])))
+        rings = []
+        for at in sorted(leave):
+            ring = []
+            while at in leave:
+                ring.append(at)
+                at = leave.pop(at)
+            if ring:
+                rings.append(ring)
+        twice = lambda ring: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
+        rings.sort(key=lambda ring: (twice(ring) < 0, ring[0]))
+        points = [[{"x": int(x), "y": int(y)} for x, y in ring] for ring in rings]
+        return pd.DataFrame({"city": [part["city"].iloc[0]], "component": [part["component"].iloc[0]], "rings": [points]})
+
+    parts = graph.clusters(cells.select("city", "cell"))
+    q, r = hexgrid.q_of(F.col("cell")), hexgrid.r_of(F.col("cell"))
+    corner = lambda i, axis: F.element_at(F.array(*(F.lit(c[axis]) for c in CORNERS)), i.cast("int") + 1)
+    at = lambda i, name: [(2 * q + r + corner(i, 0)).alias(f"{name}x"), (3 * r + corner(i, 1)).alias(f"{name}y")]
+    sides = outline(parts).join(parts, ["city", "cell"]).select("city", "component", *at(F.col("side"), "a"), *at((F.col("side") + 1) % 6, "b"))
+    kinds = dict(sides.dtypes)
+    found = sides.groupBy("city", "component").applyInPandas(chained, f"city {kinds['city']}, component {kinds['component']}, rings array<array<struct<x:bigint,y:bigint>>>")
+    width, height = lattice.edge * math.sqrt(3) / 2, lattice.edge / 2
+    plane = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct((p["x"] * width).alias("x"), (p["y"] * height).alias("y"))))
+    return found.withColumn("rings", plane)
+
+
 def metro_features(cells: DataFrame, lattice: Lattice) -> DataFrame:
-    """(city, feature): the metro's outline as lines, with its cells and area. Rings of
-    150 m closing are not drawn: lines between cells are exact."""
+    """(city, feature): the metro as a polygon, or as several where it has several parts,
+    with its cells and area. Its border is that of the cells; 150 m closing, which rounds
+    it, is not drawn."""
     metro = cells.where("in_metro").select("city", "cell")
-    corner = lambda i: F.element_at(lattice.ring(F.col("cell")), i.cast("int") + 1)
-    side = outline(metro).withColumn("a", corner(F.col("side"))).withColumn("b", corner((F.col("side") + 1) % 6))
-    from ..functions import geo
-
-    at = lambda p: F.array(F.round(geo.lng_of(F.col(p)["x"], lattice.origin), 6), F.round(geo.lat_of(F.col(p)["y"], lattice.origin), 6))
-    lines = side.groupBy("city").agg(F.sort_array(F.collect_list(F.array(at("a"), at("b")))).alias("lines"))
+    closed = F.transform("rings", lambda ring: polygon(ring, lattice)["coordinates"][0])
+    shapes = polygons(metro, lattice).select("city", "component", closed.alias("rings")).groupBy("city").agg(F.sort_array(F.collect_list(F.struct("component", "rings"))).alias("parts"))
     sizes = metro.groupBy("city").agg(F.count("*").alias("cells"))
-    shape = F.struct(F.lit("MultiLineString").alias("type"), F.col("lines").alias("coordinates"))
-    return lines.join(sizes, "city").select("city", F.to_json(feature(F.struct("cells", F.round(F.col("cells") * lattice.cell_area, 1).alias("area_km2")), shape)).alias("feature"))
+    properties = F.struct(F.lit("metro_area").alias("name"), "cells", F.round(F.col("cells") * lattice.cell_area, 1).alias("area_km2"))
+    one = F.struct(F.lit("Polygon").alias("type"), F.col("parts")[0]["rings"].alias("coordinates"))
+    many = F.struct(F.lit("MultiPolygon").alias("type"), F.col("parts.rings").alias("coordinates"))
+    return shapes.join(sizes, "city").select("city", F.when(F.size("parts") == 1, F.to_json(feature(properties, one))).otherwise(F.to_json(feature(properties, many))).alias("feature"))
+
+
+def category_colour(category: Column) -> Column:
+    """The colour of an establishment's category on a map."""
+    known = F.create_map(*(F.lit(v) for pair in CATEGORY_COLOURS.items() for v in pair))
+    return F.coalesce(F.try_element_at(known, category), F.lit(OTHER_COLOUR))
+
+
+def cells_shown(in_metro: Column, metro_view: bool, metro_only: bool) -> Column:
+    """Whether a map's cell layer shows a cell: outside the metro only in the metro's own
+    view, with the switch off."""
+    return F.lit(metro_view and not metro_only) | F.coalesce(in_metro, F.lit(False))
+
+
+def connectors_shown(connector: Column, metro_view: bool, switched_on: bool) -> Column:
+    """Whether a map's connector layer shows a cell."""
+    return F.lit(metro_view and switched_on) & F.coalesce(connector, F.lit(False))
 
 
 def poi_features(pois: DataFrame, most: int = 4000) -> DataFrame:

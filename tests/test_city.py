@@ -48,7 +48,7 @@ def test_entry_points(spark):
     assert set(e.oracle_sql()) <= set(e.queries()) and len(catalogue.QUERIES) > 50
 
 
-@pytest.mark.parametrize("name", ["accessibility_index", "gravity_access", "listing_normalization", "price_dispatch", "best_reference_match", "road_length_by_cell", "components_ring1", "percent_rank_avg_ties"])
+@pytest.mark.parametrize("name", ["accessibility_index", "gravity_access", "listing_normalization", "price_dispatch", "best_reference_match", "road_length_by_cell", "components_ring1", "percent_rank_avg_ties", "metro_polygon", "city_summary", "map_layers", "spatial_labels"])
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings".split():

@@ -318,6 +318,31 @@ def test_roads_missing_everywhere_count_as_no_access(spark):
     assert abs(sum(r.relative_value_share for r in got) - 1) < 1e-12 and sorted(r.land_value_index for r in got) == [0.0, 100.0]
 
 
+def test_polygons(spark):
+    step = 1 << 21
+    ring = [(0, q * step + r) for q, r in hexgrid.RING]  # six cells around none
+    df = spark.createDataFrame([*ring, (0, 40 * step), (1, 0), (1, 1), (None, 5)], "city int, cell long").withColumn("cell", F.col("cell") + hexgrid.pack(F.lit(0), F.lit(0)))
+    found = sinks.polygons(df.where("city is not null"), LATTICE).withColumn("areas", F.transform("rings", geo.ring_area)).collect()
+    assert sorted((r.city, [len(x) for x in r.rings], [round(a / LATTICE.cell_area, 9) for a in r.areas]) for r in found) == [(0, [6], [1.0]), (0, [18, 6], [7.0, 1.0]), (1, [10], [2.0])]
+    turn = lambda ring: sum(a.x * b.y - b.x * a.y for a, b in zip(ring, ring[1:] + ring[:1]))
+    assert all(turn(r.rings[0]) > 0 and all(turn(x) < 0 for x in r.rings[1:]) for r in found)
+    made = {r.city: json.loads(r.feature) for r in sinks.metro_features(df.where("city is not null").withColumn("in_metro", F.lit(True)), LATTICE).collect()}
+    assert (made[0]["geometry"]["type"], len(made[0]["geometry"]["coordinates"]), made[1]["geometry"]["type"]) == ("MultiPolygon", 2, "Polygon")
+    assert made[1]["properties"] == {"name": "metro_area", "cells": 2, "area_km2": round(2 * LATTICE.cell_area, 1)}
+    closed = made[1]["geometry"]["coordinates"][0]
+    assert closed[0] == closed[-1] and len(closed) == 11 and closed[0][0] == pytest.approx(123.9, abs=0.02)
+    none = df.where("false").withColumn("in_metro", F.lit(True))
+    assert sinks.polygons(none, LATTICE).count() == sinks.metro_features(none, LATTICE).count() == 0
+
+
+def test_map_layers(spark):
+    df = spark.createDataFrame([("mall", True), ("zoo", False), (None, None)], "c string, m boolean")
+    assert [r[0] for r in values(df, sinks.category_colour(F.col("c")))] == ["#e6194B", "#888", "#888"]
+    shown = lambda *switches: [r[0] for r in values(df, sinks.cells_shown(F.col("m"), *switches))]
+    assert shown(False, False) == shown(True, True) == [True, False, False] and shown(True, False) == [True] * 3
+    assert [r[0] for r in values(df, sinks.connectors_shown(F.col("m"), True, True))] == [True, False, False]
+
+
 def test_manifest(tmp_path):
     c, path = Config(), tmp_path / "manifest.json"
     a, b = {"slug": "a", "name": "A"}, {"slug": "b", "name": "B", "n_price_cells": 3}
