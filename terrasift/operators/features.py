@@ -152,14 +152,15 @@ def smoothed(cells: DataFrame, value: str, out: str, k: int = 2) -> DataFrame:
 
 def downtown(cells: DataFrame) -> DataFrame:
     """(city, cell, lat, lng) of each city's centre: the peak of 0.8 road rank + 0.2 POI
-    rank, smoothed over two rings; of equal peaks the smallest cell. Where nothing
+    rank, smoothed over two rings; of peaks equal to nine decimals the smallest cell, whatever
+    order means were summed in. Where nothing
     is positive, cell is null and the place is the mean of all cells."""
     cells = keep(cells.select("city", "cell", "lat", "lng", "road_density_km", "poi_weighted_density"))
     ranked = stats.percent_ranks(cells, {"_road": ("road_density_km", True), "_poi": ("poi_weighted_density", True)}, ["city"])
     ranked = keep(ranked.withColumn("_score", 0.8 * F.col("_road") + 0.2 * F.col("_poi")))
     mean = ranked.groupBy("city").agg(F.avg("lat").alias("mean_lat"), F.avg("lng").alias("mean_lng"), F.max("_score").alias("top"))
     peak = smoothed(ranked, "_score", "smooth").join(cells.select("city", "cell", "lat", "lng"), ["city", "cell"])
-    best = peak.groupBy("city").agg(F.min(F.struct((-F.col("smooth")).alias("by"), F.col("cell"), F.col("lat"), F.col("lng"))).alias("best"))
+    best = peak.groupBy("city").agg(F.min(F.struct((-F.round("smooth", 9)).alias("by"), F.col("cell"), F.col("lat"), F.col("lng"))).alias("best"))
     put = lambda a, b: F.when(F.col("top") > 0, F.col(a)).otherwise(F.col(b))
     return mean.join(best, "city").select("city", F.when(F.col("top") > 0, F.col("best.cell")).alias("cell"), put("best.lat", "mean_lat").alias("lat"), put("best.lng", "mean_lng").alias("lng"))
 

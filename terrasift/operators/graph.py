@@ -55,11 +55,13 @@ def components(cells: DataFrame, edges: DataFrame) -> DataFrame:
 
 def clusters(cells: DataFrame) -> DataFrame:
     """Components of neighbouring cells."""
+    cells = keep(cells.select(*KEY))
     return components(cells, links(cells, 1))
 
 
 def connected(seeds: DataFrame, allowed: DataFrame, bridge: int = 1, land: DataFrame | None = None) -> DataFrame:
     """(city, cell): what each city's seed reaches; nothing where it is not allowed."""
+    allowed = keep(allowed.select(*KEY))
     found = components(allowed, links(allowed, bridge, land))
     own = found.join(seeds.select(*KEY), KEY, "left_semi").select("city", "component").distinct()
     return found.join(own, ["city", "component"], "left_semi").select(*KEY)
@@ -110,7 +112,8 @@ def delineate(cells: DataFrame, downtowns: DataFrame, metro: dict) -> DataFrame:
     """cells with is_urban, is_connector and in_metro. The seed of a city is its downtown's
     cell, or else the urban cell nearest to downtown. cells: city, cell, dist_cbd_km,
     poi_count, road_density_km, establishment_access; downtowns: city, cell."""
-    marked = cells.withColumn("is_urban", urban(cells, metro["min_poi_per_cell"], metro["min_road_km_per_cell"], metro["min_establishment_access_for_road_cell"]))
+    # Each round of connectors reads the cells again.
+    marked = keep(cells.withColumn("is_urban", urban(cells, metro["min_poi_per_cell"], metro["min_road_km_per_cell"], metro["min_establishment_access_for_road_cell"])))
     town = keep(marked.where("is_urban").select(*KEY, "dist_cbd_km"))
     centre = downtowns.select("city", F.col("cell").alias("centre"))
     seeds = town.join(centre, "city", "left").groupBy("city").agg(F.min(F.struct((F.col("cell") != F.col("centre")).alias("other"), "dist_cbd_km", "cell")).alias("s")).select("city", F.col("s.cell").alias("cell"))

@@ -120,6 +120,24 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, distance: Column, k
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Parts of a group that pick their own rows before the group does.
+SALTS = 64
+
+
+def _drawn(keys: tuple[str, ...]) -> list[Column]:
+    return [F.md5(F.concat_ws("|", *keys)), *(F.col(k) for k in keys)]
+
+
 def sample_top(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """n rows that a hash of their keys picks: the same ones each time."""
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(n)
+    return df.orderBy(*_drawn(keys)).limit(n)
+
+
+def sample_per(df: DataFrame, n: int, by: list[str], *keys: str) -> DataFrame:
+    """Of each group n rows that a hash of their keys picks: the same ones each time. SALTS
+    parts of a group choose n each, and the group of those, so no task sorts a whole group."""
+    salt = f"s_{uuid.uuid4().hex}"
+    rank = lambda parts: F.row_number().over(Window.partitionBy(*parts).orderBy(*_drawn(keys)))
+    salted = df.withColumn(salt, F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+    few = salted.withColumn("_rank", rank([*by, salt])).where(F.col("_rank") <= n)
+    return few.withColumn("_rank", rank(by)).where(F.col("_rank") <= n).drop("_rank", salt)

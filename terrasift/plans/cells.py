@@ -11,7 +11,7 @@ from ..functions import geo, hexgrid
 from ..operators import features, graph
 from ..sources import sinks
 from .access import customers, suppliers
-from .bindings import LATTICE, ORIGIN, _KX, _KY, celled_sql, placed, placed_sql, table
+from .bindings import LATTICE, ORIGIN, SCALES, _KX, _KY, celled_sql, placed, placed_sql, rank_sql, table
 
 QUERIES, ORACLES = {}, {}
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -213,7 +213,6 @@ def town(spark, d):
     return occupied(spark, d).select("city", "cell")
 
 
-
 def dense(spark, d):
     """Occupied cells with at least the mean number of customers per cell, plus one."""
     cells = occupied(spark, d)
@@ -294,8 +293,32 @@ def urban_predicate(spark, d):
 
 
 QUERIES["urban_predicate"] = urban_predicate
-ORACLES["urban_predicate"] = f"""WITH road AS ({ORACLES['road_length_by_cell']}), pull AS (SELECT c.cell, sum(((s.s_nationkey % 5 + 1) / 5::DOUBLE) * exp(-sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) / 1.5::DOUBLE)) AS ea FROM {_PLACED_CELLS} c CROSS JOIN {placed_sql('supplier', 's_suppkey')} s GROUP BY 1)
-SELECT c.cell, (c.n >= 6 OR (coalesce(road.road_density_km, 0) >= 0.5 AND coalesce(pull.ea, 0) >= 1.0)) AS is_urban FROM ({_OCCUPIED}) c LEFT JOIN road USING (cell) LEFT JOIN pull USING (cell)"""
+
+
+def _urban_sql(poi: float, road: float, access: float) -> str:
+    """The occupied cells with x, y and is_urban."""
+    return f"""SELECT c.cell, c.x, c.y, (c.n >= {poi} OR (coalesce(road.road_density_km, 0) >= {road} AND coalesce(pull.ea, 0) >= {access})) AS is_urban FROM {_PLACED_CELLS} c
+LEFT JOIN ({ORACLES['road_length_by_cell']}) road USING (cell) LEFT JOIN (SELECT c.cell, sum(((s.s_nationkey % 5 + 1) / 5::DOUBLE) * exp(-sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) / 1.5::DOUBLE)) AS ea
+  FROM {_PLACED_CELLS} c CROSS JOIN {placed_sql('supplier', 's_suppkey')} s GROUP BY 1) pull USING (cell)"""
+
+
+ORACLES["urban_predicate"] = f"SELECT cell, is_urban FROM ({_urban_sql(6.0, 0.5, 1.0)})"
+#: A metro without connectors: what the seed reaches over urban cells and bridges.
+CORE = DEFAULTS["metro"] | {"min_poi_per_cell": 5.0, "min_road_km_per_cell": 0.5, "min_establishment_access_for_road_cell": 1.0, "bridge_gap": 2, "connector_gap": 0}
+
+
+def metro_core(spark, d):
+    centre = spark.range(1).select(F.lit(0).alias("city"), hexgrid.pack(F.lit(0), F.lit(0)).alias("cell"))
+    return graph.delineate(metro_cells(spark, d), centre, CORE).select("cell", "is_urban", "in_metro")
+
+
+QUERIES["metro_core"] = metro_core
+ORACLES["metro_core"] = f"""WITH RECURSIVE land AS MATERIALIZED ({_urban_sql(5.0, 0.5, 1.0)}), town AS MATERIALIZED (SELECT * FROM land WHERE is_urban), way(o, mid) AS (VALUES {_bridge_sql()}),
+half AS (SELECT a.cell, b.cell AS other FROM town a CROSS JOIN way JOIN town b ON b.cell = a.cell + way.o WHERE way.mid IS NULL OR a.cell + way.mid NOT IN (SELECT cell FROM land)),
+link AS MATERIALIZED (SELECT * FROM half UNION ALL SELECT other, cell FROM half),
+seed AS (SELECT cell FROM town ORDER BY cell <> (1048576 * 2097152::BIGINT + 1048576), sqrt(x * x + y * y), cell LIMIT 1),
+reach(cell) AS (SELECT cell FROM seed UNION SELECT l.other FROM reach JOIN link l USING (cell))
+SELECT cell, is_urban, cell IN (FROM reach) AS in_metro FROM land"""
 
 
 def extent_and_area(spark, d):
@@ -378,6 +401,98 @@ round(count(*) * {LATTICE.cell_area!r}::DOUBLE, 1) AS land_km2, round(count(*) F
 round(min({_LNG}), 5) AS west, round(min({_LAT}), 5) AS south, round(max({_LNG}), 5) AS east, round(max({_LAT}), 5) AS north FROM {_CITY_CELLS} GROUP BY city"""
 
 
+def components_by_city(spark, d):
+    """The clusters of each nation's cells; nations overlap on the map, their cells do not join."""
+    return graph.clusters(city_cells(spark, d)).select("city", "cell", "component")
+
+
+QUERIES["components_by_city"] = components_by_city
+ORACLES["components_by_city"] = f"""WITH RECURSIVE town AS MATERIALIZED (SELECT city, cell FROM {_CITY_CELLS}), way(o) AS (VALUES {_OFFSETS[1]}),
+link AS MATERIALIZED (SELECT a.city, a.cell, b.cell AS other FROM town a CROSS JOIN way JOIN town b ON b.city = a.city AND b.cell = a.cell + way.o),
+reach(city, cell, seed) AS (SELECT city, cell, cell FROM town UNION SELECT l.city, l.other, r.seed FROM reach r JOIN link l USING (city, cell))
+SELECT city, cell, min(seed) AS component FROM reach GROUP BY 1, 2"""
+
+
+def downtown_by_city(spark, d):
+    """Downtown of each nation's cells, its customers being establishments and its suppliers roads."""
+    roads = placed(table(spark, d, "supplier"), "s_suppkey", "s_nationkey").groupBy("city", LATTICE.cell(F.col("lat"), F.col("lng")).alias("cell")).agg(F.count("*").cast("double").alias("road_density_km"))
+    cells = city_cells(spark, d).select("city", "cell", F.col("n").cast("double").alias("poi_weighted_density")).join(roads, ["city", "cell"], "left").fillna(0.0, ["road_density_km"])
+    found = features.downtown(cells.withColumn("lat", LATTICE.lat(F.col("cell"))).withColumn("lng", LATTICE.lng(F.col("cell"))))
+    return found.select("city", "cell", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+QUERIES["downtown_by_city"] = downtown_by_city
+ORACLES["downtown_by_city"] = f"""WITH cells AS (SELECT a.*, coalesce(b.m, 0)::DOUBLE AS km FROM {_CITY_CELLS} a LEFT JOIN (SELECT city, cell, count(*) AS m FROM {celled_sql(placed_sql('supplier', 's_suppkey', 's_nationkey'))} GROUP BY 1, 2) b USING (city, cell)),
+scored AS (SELECT *, 0.8::DOUBLE * ({rank_sql('km', 'city', True)}) + 0.2::DOUBLE * ({rank_sql('n', 'city', True)}) AS score FROM cells), way(o) AS (VALUES {_OFFSETS[2]}),
+smooth AS (SELECT a.city, a.cell, any_value(a.q) AS q, any_value(a.r) AS r, avg(b.score) AS s FROM scored a CROSS JOIN way JOIN scored b ON b.city = a.city AND b.cell = a.cell + way.o GROUP BY 1, 2)
+SELECT city, cell, round({_LAT}, 6) AS lat, round({_LNG}, 6) AS lng FROM smooth QUALIFY row_number() OVER (PARTITION BY city ORDER BY round(s, 9) DESC, cell) = 1"""
+
+
+def access_by_city(spark, d):
+    """Gravity and the nearest supplier of customers among the suppliers of their own nation only."""
+    own = placed(table(spark, d, "customer"), "c_custkey", "c_nationkey").select("c_custkey", "city", "x", "y")
+    give = placed(table(spark, d, "supplier"), "s_suppkey", "s_nationkey").withColumn("weight", (F.col("s_suppkey") % 5 + 1) / F.lit(5.0))
+    pull = features.gravity(own, give, SCALES["establishment"], ["c_custkey"])
+    points = give.select("s_suppkey", "city", F.col("x").alias("px"), F.col("y").alias("py"))
+    near = features.nearest_point(own, points, "c_custkey", "s_suppkey", 8.0, geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
+    found = own.join(pull, "c_custkey", "left").join(near, "c_custkey", "left")
+    return found.select("c_custkey", "city", F.round("establishment_access", 6).alias("establishment_access"), "s_suppkey", F.round("distance", 6).alias("distance_km"))
+
+
+QUERIES["access_by_city"] = access_by_city
+ORACLES["access_by_city"] = f"""WITH c AS (SELECT c_custkey, city, x, y FROM {placed_sql('customer', 'c_custkey', 'c_nationkey')}),
+pairs AS (SELECT c.c_custkey, s.s_suppkey, (s.s_suppkey % 5 + 1) / 5::DOUBLE AS w, sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)) AS km FROM c JOIN {placed_sql('supplier', 's_suppkey', 's_nationkey')} s ON s.city = c.city),
+pull AS (SELECT c_custkey, sum(w * exp(-km / {SCALES['establishment']}::DOUBLE)) AS ea FROM pairs WHERE km <= {SCALES['establishment'] * features.CUTOFF}::DOUBLE GROUP BY 1),
+near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) = 1)
+SELECT c.c_custkey, c.city, round(ea, 6) AS establishment_access, s_suppkey, round(km, 6) AS distance_km FROM c LEFT JOIN pull USING (c_custkey) LEFT JOIN near USING (c_custkey)"""
+
+
+def poi_layer(spark, d):
+    """Customers as establishments of their nation, at most 20 a nation on the map; the limit is the feature."""
+    pois = placed(table(spark, d, "customer"), "c_custkey", "c_nationkey").withColumnRenamed("c_mktsegment", "category")
+    at = lambda path: F.get_json_object("feature", path)
+    return sinks.poi_features(pois, 20).select("city", at("$.properties.cat").alias("category"), at("$.geometry.coordinates[0]").cast("double").alias("lng"), at("$.geometry.coordinates[1]").cast("double").alias("lat"))
+
+
+QUERIES["poi_layer"] = poi_layer
+ORACLES["poi_layer"] = f"""SELECT city, c_mktsegment AS category, round(lng, 5) AS lng, round(lat, 5) AS lat FROM {placed_sql('customer', 'c_custkey', 'c_nationkey')}
+QUALIFY row_number() OVER (PARTITION BY city ORDER BY md5(concat_ws('|', round(lng * 100000)::BIGINT, round(lat * 100000)::BIGINT, c_mktsegment)), c_custkey) <= 20"""
+
+_PRICED = "city % 2 = 0 AND n > 1"
+
+
+def cells_geojson(spark, d):
+    """Each nation's cells as features of a GeoJSON layer, read again: short keys, rounded values,
+    price keys only in nations of even keys that have a priced cell."""
+    names = [c for _, c, _ in sinks.CELL_PROPERTIES]
+    cells = city_cells(spark, d).withColumns({c: F.col("n") / F.lit(float(7 + 2 * i)) for i, c in enumerate(names)})
+    cells = cells.withColumns({c: F.when(F.expr(_PRICED), 1000.0 * (i + 1) + F.col("n")) for i, (_, c) in enumerate(sinks.PRICE_PROPERTIES)})
+    cells = cells.withColumn("poi_count", F.col("n")).withColumn("in_metro", F.col("n") > 1).withColumn("is_connector", F.col("n") == 2)
+    found = sinks.cell_features(cells, LATTICE)
+    at = lambda path, kind: F.get_json_object("feature", path).cast(kind)
+    ring = "$.geometry.coordinates[0]"
+    return found.select(
+        "city", at("$.properties.id", "bigint").alias("cell"), *(at(f"$.properties.{k}", "double").alias(k) for k, _, _ in sinks.CELL_PROPERTIES), *(at(f"$.properties.{k}", "bigint").alias(k) for k in ("pc", "mt", "cn")),
+        *(at(f"$.properties.{k}", "double").alias(k) for k, _ in sinks.PRICE_PROPERTIES), F.contains("feature", F.lit('"ppsm"')).alias("has_price_key"),
+        F.size(F.from_json(F.get_json_object("feature", ring), "array<array<double>>")).alias("corners"), *(F.round(at(f"{ring}[1][{i}]", "double"), 6).alias(n) for i, n in enumerate(("east", "north"))),
+    )
+
+
+QUERIES["cells_geojson"] = cells_geojson
+
+
+def _cells_geojson_sql() -> str:
+    values = ", ".join(f"round(n / {7 + 2 * i}::DOUBLE, {k}) AS {short}" for i, (short, _, k) in enumerate(sinks.CELL_PROPERTIES))
+    prices = ", ".join(f"CASE WHEN {_PRICED} THEN {1000 * (i + 1)}::DOUBLE + n END AS {short}" for i, (short, _) in enumerate(sinks.PRICE_PROPERTIES))
+    x = f"({LATTICE.edge}::DOUBLE * ({math.sqrt(3)!r}::DOUBLE * q + {math.sqrt(3) / 2!r}::DOUBLE * r) + {LATTICE.edge * math.sqrt(3) / 2!r}::DOUBLE)"
+    y = f"({LATTICE.edge}::DOUBLE * (1.5::DOUBLE * r) + {LATTICE.edge / 2!r}::DOUBLE)"
+    return f"""SELECT city, cell, {values}, n AS pc, (n > 1)::BIGINT AS mt, (n = 2)::BIGINT AS cn, {prices}, bool_or({_PRICED}) OVER (PARTITION BY city) AS has_price_key, 7 AS corners,
+round({x} / {_KX}::DOUBLE + {ORIGIN[1]}::DOUBLE, 6) AS east, round({y} / {_KY}::DOUBLE + {ORIGIN[0]}::DOUBLE, 6) AS north FROM {_CITY_CELLS}"""
+
+
+ORACLES["cells_geojson"] = _cells_geojson_sql()
+
+
 def map_layers(spark, d):
     """Suppliers as map features: their category's colour, and the layers that show them."""
     names = [*sinks.CATEGORY_COLOURS, "other", None]

@@ -8,13 +8,13 @@ import threading
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COMPONENTS, Config, normalised_weights
 from ..functions import hexgrid
 from ..functions.hexgrid import Lattice
-from ..operators import graph, relational
+from ..operators import graph, relational, stats
 
 #: Labels of the components, and the metrics of a map.
 COMPONENT_LABELS = ("Downtown", "Major road", "Establishments", "POI density", "Road density")
@@ -63,8 +63,7 @@ def polygon(ring: Column, lattice: Lattice) -> Column:
 def cell_features(cells: DataFrame, lattice: Lattice) -> DataFrame:
     """(city, feature): a GeoJSON feature per cell. Price keys appear only in cities where
     some cell has a price."""
-    any_price = F.max(F.col("land_price_php_sqm").isNotNull()).over(Window.partitionBy("city")) if "land_price_php_sqm" in cells.columns else F.lit(False)
-    df = cells.withColumn("_priced", any_price)
+    df = stats.with_group(cells, ["city"], _priced=F.max(F.col("land_price_php_sqm").isNotNull())) if "land_price_php_sqm" in cells.columns else cells
     base = [F.col("cell").cast("string").alias("id"), *(F.round(c, n).alias(k) for k, c, n in CELL_PROPERTIES), F.col("poi_count").alias("pc"), F.col("in_metro").cast("int").alias("mt"), F.col("is_connector").cast("int").alias("cn")]
     geometry = polygon(lattice.ring(F.col("cell")), lattice)
     plain = F.to_json(feature(F.struct(*base), geometry))
@@ -163,8 +162,8 @@ def connectors_shown(connector: Column, metro_view: bool, switched_on: bool) ->
 
 def poi_features(pois: DataFrame, most: int = 4000) -> DataFrame:
     """(city, feature) of at most `most` establishments of each city, the same ones each time."""
-    n = F.row_number().over(Window.partitionBy("city").orderBy(F.xxhash64("lng", "lat", "category"), "lng", "lat", "category"))
-    few = pois.withColumn("_n", n).where(F.col("_n") <= most)
+    few = pois.select("city", "category", "lng", "lat", *(F.round(F.col(c) * 100_000).cast("long").alias(f"_{c}") for c in ("lng", "lat")))
+    few = relational.sample_per(few, most, ["city"], "_lng", "_lat", "category")
     return few.select("city", F.to_json(feature(F.struct(F.col("category").alias("cat")), point(F.round("lng", 5), F.round("lat", 5)))).alias("feature"))
 
 
