@@ -72,10 +72,16 @@ def r_of(cell: Column) -> Column:
 
 def rounded(q: Column, r: Column) -> tuple[Column, Column]:
     """The hexagon that fractional axial coordinates lie in."""
-    near = lambda v: F.floor(v + 0.5)
-    s = -q - r
-    a, b, c = near(q), near(r), near(s)
-    da, db, dc = F.abs(a - q), F.abs(b - r), F.abs(c - s)
+    return _settled(q, r, *_nearest(q, r))
+
+
+def _nearest(q: Column, r: Column) -> list[Column]:
+    return [F.floor(v + 0.5) for v in (q, r, -q - r)]
+
+
+def _settled(q: Column, r: Column, a: Column, b: Column, c: Column) -> tuple[Column, Column]:
+    """Of three rounded coordinates the one that moved most follows from the others."""
+    da, db, dc = F.abs(a - q), F.abs(b - r), F.abs(c - (-q - r))
     return F.when((da > db) & (da > dc), -b - c).otherwise(a), F.when((da > db) & (da > dc), b).when(db > dc, -a - c).otherwise(b)
 
 
@@ -98,14 +104,17 @@ def steps(a: Column, b: Column) -> Column:
 
 def path(a: Column, b: Column) -> Column:
     """The cells of the straight line from a to b, both included. Points on a border
-    are nudged one way, so the way back may differ."""
-    n = steps(a, b)
+    are nudged one way, so the way back may differ.
+
+    Each transform hands on what later ones need several times, so that the expression
+    stays small: written out, it is thousands of nodes, slow to plan and compile."""
     nudge_q, nudge_r = 1e-6, 2e-6
+    ends = F.struct((q_of(a) + nudge_q).alias("q"), (r_of(a) + nudge_r).alias("r"), (q_of(b) - q_of(a)).alias("dq"), (r_of(b) - r_of(a)).alias("dr"), steps(a, b).alias("n"))
 
-    def at(i: Column) -> Column:
-        t = F.when(n > 0, i / n).otherwise(0.0)
-        q = q_of(a) + nudge_q + (q_of(b) - q_of(a)) * t
-        r = r_of(a) + nudge_r + (r_of(b) - r_of(a)) * t
-        return pack(*rounded(q, r))
+    def point(e: Column, i: Column) -> Column:
+        t = F.when(e["n"] > 0, i / e["n"]).otherwise(0.0)
+        return F.struct((e["q"] + e["dq"] * t).alias("q"), (e["r"] + e["dr"] * t).alias("r"))
 
-    return F.transform(F.sequence(F.lit(0), n), at)
+    points = F.element_at(F.transform(F.array(ends), lambda e: F.transform(F.sequence(F.lit(0), e["n"]), lambda i: point(e, i))), 1)
+    near = F.transform(points, lambda p: F.struct(p["q"].alias("q"), p["r"].alias("r"), *(v.alias(n) for n, v in zip("abc", _nearest(p["q"], p["r"]), strict=True))))
+    return F.transform(near, lambda p: pack(*_settled(*(p[n] for n in ("q", "r", "a", "b", "c")))))

@@ -20,7 +20,7 @@ KEY = ["city", "cell"]
 def interior(a: Column, b: Column) -> Column:
     """The cells between two cells, from the smaller to the larger id."""
     whole = hexgrid.path(F.least(a, b), F.greatest(a, b))
-    return F.slice(whole, 2, F.greatest(F.size(whole) - 2, F.lit(0)))
+    return F.element_at(F.transform(F.array(whole), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))), 1)
 
 
 def links(allowed: DataFrame, bridge: int = 1, land: DataFrame | None = None) -> DataFrame:

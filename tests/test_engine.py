@@ -396,3 +396,26 @@ def test_label_stream(spark, tmp_path):
         q = labels.import_labels(labels.listing_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", MODEL)
         q.awaitTermination()
     assert sorted(values(labels.current(spark, f"{tmp_path}/out"), "listing_id", "price_per_sqm_php")) == [("1", 10000.0), ("2", 20000.0)]
+
+
+def test_samples(spark):
+    import hashlib
+
+    rows = [(g, i) for g, n in (("a", 400), ("b", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i long")
+    first = lambda found: sorted(found, key=lambda r: hashlib.md5(str(r[1]).encode()).hexdigest())
+    want = {r for g in "ab" for r in first([r for r in rows if r[0] == g])[:20]}
+    assert set(values(relational.sample_per(df.repartition(5), 20, ["g"], "i"), "g", "i")) == want
+    assert set(values(relational.sample_top(df.where("g = 'a'"), 7, "i"), "g", "i")) == set(first([r for r in rows if r[0] == "a"])[:7])
+    assert relational.sample_per(df.limit(0), 20, ["g"], "i").count() == 0
+
+
+def test_paths_bind_their_ends_once(spark):
+    """Every step of a path is a neighbour of the one before, ends included, whichever way it goes."""
+    cells = spark.range(1).select(F.explode(hexgrid.disk(hexgrid.pack(F.lit(5), F.lit(-3)), 4)).alias("b"), hexgrid.pack(F.lit(5), F.lit(-3)).alias("a"))
+    for a, b in (("a", "b"), ("b", "a")):
+        found = cells.select(F.col(a).alias("a"), F.col(b).alias("b"), hexgrid.path(F.col(a), F.col(b)).alias("p"))
+        steps = F.zip_with(F.slice("p", 2, F.size("p")), F.slice("p", 1, F.size("p") - 1), hexgrid.steps)
+        ok = (F.col("p")[0] == F.col("a")) & (F.element_at("p", -1) == F.col("b")) & F.forall(steps, lambda s: s == 1)
+        size = F.size("p") == hexgrid.steps(F.col("a"), F.col("b")) + 1
+        assert found.where((F.size("p") > 1) & ~(ok & size)).isEmpty() and found.count() == 61
