@@ -69,17 +69,17 @@ def percent_ranks(df: DataFrame, ranks: dict[str, tuple[str, bool]], by: list[st
     inside = Window.partitionBy(*keys, "r_bucket").orderBy("r_v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = spans.withColumn("r_before", F.coalesce(F.sum("r_n").over(inside), F.lit(0)))
     lower = sums.select(*(F.col(k).alias(f"s_{k}") for k in [*keys, "r_bucket"]), "r_lower")
-    ranked = ranked.join(lower, _same([*keys, "r_bucket"], "s_"))
+    ranked = ranked.join(lower, same([*keys, "r_bucket"], "s_"))
     rank = (F.col("r_lower") + F.col("r_before") + (F.col("r_n") + 1) / F.lit(2.0)) / F.col("r_total")
     ranked = keep(ranked.select(*keys, "r_v", rank.alias("r_rank")))
     for out, (_, positive) in ranks.items():
         own = ranked.where(F.col("r_out") == out).select(*(F.col(b).alias(f"k_{b}") for b in by), F.col("r_v").alias("k_v"), F.col("r_rank").alias(f"k_{out}"))
-        df = df.drop(out).join(own, (value[out] == F.col("k_v")) & _same(by, "k_"), "left").withColumn(out, F.coalesce(F.col(f"k_{out}"), F.lit(0.0)) if positive else F.col(f"k_{out}"))
+        df = df.drop(out).join(own, (value[out] == F.col("k_v")) & same(by, "k_"), "left").withColumn(out, F.coalesce(F.col(f"k_{out}"), F.lit(0.0)) if positive else F.col(f"k_{out}"))
         df = df.drop("k_v", f"k_{out}", *(f"k_{b}" for b in by))
     return df
 
 
-def _same(columns: list[str], prefix: str) -> Column:
+def same(columns: list[str], prefix: str) -> Column:
     """Equality of columns and their prefixed copies; null equals null."""
     out = F.lit(True)
     for c in columns:

@@ -146,6 +146,17 @@ def test_places_and_segments_are_met_once(spark, monkeypatch):
     assert asked == [(3, 2), (1, 2)]
 
 
+def test_nearest_point_asks_once_a_place(spark, monkeypatch):
+    asked, spread = [], features._spread
+    monkeypatch.setattr(features, "_spread", lambda df, *a: asked.append(df.count()) or spread(df, *a))
+    cells = spark.createDataFrame([(0, i, [0.0, 5.0, None][i % 3], 0.5) for i in range(60)], "city int, cell long, x double, y double")
+    points = spark.createDataFrame([(0, 90 - i, 4.0 * (i % 2), 0.5) for i in range(40)], "city int, point int, px double, py double")
+    d = geo.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))
+    got = values(features.nearest_point(cells, points, "cell", "point", 2.0, d), "cell", "point", "distance")
+    assert sorted(got) == sorted((i, [52, 51][i % 3], [0.0, 1.0][i % 3]) for i in range(60) if i % 3 < 2)
+    assert max(asked) == 3
+
+
 def test_gravity_against_all_pairs(spark):
     r = np.random.default_rng(5)
     c, p = r.uniform(-60, 60, (80, 2)), r.uniform(-60, 60, (60, 2))
